@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackline.llm import secret_scan
+from trackline.llm import secret_scan, token_counts, topk_search
 from trackline.llm.common import table
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_secret_scan,)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op6_token_counts, op8_secret_scan, op9_topk_search)}
+ORACLE_SQL = {"op9_topk_search": topk_search.ORACLE}
