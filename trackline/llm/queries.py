@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackline.llm import secret_scan, token_counts, topk_search
+from trackline.llm import decontaminate, language_id, secret_scan, token_counts, topk_search
 from trackline.llm.common import table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,5 +29,5 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_counts, op8_secret_scan, op9_topk_search)}
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_language_id, op6_token_counts, op8_secret_scan, op9_topk_search)}
 ORACLE_SQL = {"op9_topk_search": topk_search.ORACLE}
