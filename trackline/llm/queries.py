@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackline.llm import decontaminate, language_id, lm_score, piece_sampling, secret_scan, token_counts, topk_search, toxicity, url_filter
+from trackline.llm import decontaminate, language_id, lm_score, near_dedup, piece_sampling, secret_scan, token_counts, topk_search, toxicity, url_filter
 from trackline.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -13,6 +13,10 @@ WORDS = "word_bpe_49k.json"
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.report(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -51,6 +55,6 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_sentencepiece, op3_decontaminate, op4_url_filter, op5_language_id, op6_token_counts, op7_toxicity, op8_secret_scan, op9_topk_search, op10_lm_score)
+    for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_decontaminate, op4_url_filter, op5_language_id, op6_token_counts, op7_toxicity, op8_secret_scan, op9_topk_search, op10_lm_score)
 }
 ORACLE_SQL = {"op9_topk_search": topk_search.ORACLE}
