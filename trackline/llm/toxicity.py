@@ -35,7 +35,8 @@ class Rule:
     max_terms: int = 2_000
     max_forms: int = 20_000
     min_texts: int = 6  # toxic texts that a term stands in
-    min_share: float = 0.6  # of the texts with the term that are toxic
+    min_share: float = 0.9  # of the texts with the term that are toxic
+    min_chance: float = 0.6  # below it, a form is no match
     min_surroundings: int = 6
     quoted: float = 0.4  # what a quoted match counts
     misspelled: float = 0.9  # how sure a rare misspelling is before any is seen in training
@@ -139,7 +140,7 @@ class Model:
         if p is None:
             term = self.automaton.match(word)
             p = 0.0 if term is None else self.terms[term] * self.sure.get(term, self.rule.misspelled)
-        return p if p >= self.rule.min_share else 0.0
+        return p if p >= self.rule.min_chance else 0.0
 
     def matched(self, words: set[str]) -> set[str]:
         if len(self.clean) > MAX_CACHED:
