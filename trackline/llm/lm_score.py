@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from trackline.llm.common import fold, stored, text_slices
 from trackline.llm.lattice import LITERAL_MARK, Lattice, Units, Vocabulary, vocabulary
 
-CHUNK_BYTES = 16_000_000
-LATTICE_WORDS = 50_000  # distinct words whose lattices are built at once
+CHUNK_BYTES = 12_000_000
+LATTICE_WORDS = 16_000  # distinct words whose lattices are built at once
 DISCOUNT = 0.75
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 CHUNK = "chunk long, doc_id long, held_out boolean, words binary, word string, number int, n long, lattice double"
