@@ -30,7 +30,7 @@ def rating(facts: Column, copies: Column, copied_by: Column) -> Column:
 def over_days(daily: DataFrame) -> DataFrame:
     """Rating of each source over several days, days weighted by their facts."""
     r = daily.withColumn("rating", rating(F.col("facts"), F.col("copies"), F.col("copied_by")))
-    return r.groupBy("source_id").agg(F.sum("facts").alias("facts"), F.sum("copies").alias("copies"), F.sum("copied_by").alias("copied_by"), F.round(F.sum(F.col("rating") * F.col("facts")) / F.sum("facts"), 6).alias("rating"))
+    return r.groupBy("source_id").agg(F.sum("facts").alias("facts"), F.sum("copies").alias("copies"), F.sum("copied_by").alias("copied_by"), F.round(F.sum(F.col("rating") * F.col("facts")) / F.sum("facts"), 9).alias("rating"))
 
 
 def copy_pairs(repeats: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ _WALK = """walk AS (SELECT head, head AS fact_id, 0 AS generation, 1.0::DOUBLE A
 SQL = {
     "source_days": f"WITH {_F}, {_R}, {_D} SELECT CAST(day AS VARCHAR) AS day, source_id, facts, copies, copied_by, lead_s, rating FROM rated",
     "source_ratings": f"""WITH {_F}, {_R}, {_D} SELECT source_id, CAST(sum(facts) AS BIGINT) AS facts, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(copied_by) AS BIGINT) AS copied_by,
-      round(sum(rating * facts) / sum(facts), 6) AS rating FROM rated GROUP BY 1""",
+      round(sum(rating * facts) / sum(facts), 9) AS rating FROM rated GROUP BY 1""",
     "source_copy_pairs": f"WITH {_F}, {_R} SELECT copy_source, original_source, count(*) AS n, round(avg(lead_time), 3) AS mean_delay_s FROM rep GROUP BY 1, 2",
     "best_chains": f"""WITH RECURSIVE {_F}, {_E}, best AS (SELECT to_id, arg_max(from_id, (probability, from_id)) AS prev FROM edges GROUP BY 1),
       chain AS (SELECT head, 0 AS step, head AS fact_id FROM heads UNION ALL SELECT head, step + 1, prev FROM chain JOIN best ON to_id = fact_id WHERE step < 6) SELECT * FROM chain""",

@@ -10,7 +10,11 @@ from trackline.operators import snapshot as N
 from trackline.plans.stats import LOCAL, STAMP
 from trackline.sources import bindings as B
 
-FROM, TO, AT = (F.expr(f"timestamp_ntz'{t}'") for t in ("2024-01-05 00:00:00", "2024-01-25 00:00:00", "2024-01-15 12:00:00"))
+FROM, TO, AT = "2024-01-05 00:00:00", "2024-01-25 00:00:00", "2024-01-15 12:00:00"
+
+
+def _ts(text):
+    return F.expr(f"timestamp_ntz'{text}'")
 
 
 def _alerts(spark, d):
@@ -24,17 +28,17 @@ def alert_intervals(spark, d):
 
 
 def alert_summary(spark, d):
-    a = I.clip(_alerts(spark, d), FROM, TO)
-    return a.groupBy("place_id").agg(F.count("*").alias("n"), F.round(F.sum(I.seconds("from_at", "to_at") / 3600), 4).alias("hours"), F.count_if(F.col("end").isNull() | (F.col("end") > TO)).alias("open"))
+    a = I.clip(_alerts(spark, d), _ts(FROM), _ts(TO))
+    return a.groupBy("place_id").agg(F.count("*").alias("n"), F.round(F.sum(I.seconds("from_at", "to_at") / 3600), 4).alias("hours"), F.count_if(F.col("end").isNull() | (F.col("end") > _ts(TO))).alias("open"))
 
 
 def alert_hours_per_bucket(spark, d):
-    a = I.split_hours(I.clip(_alerts(spark, d), FROM, TO))
+    a = I.split_hours(I.clip(_alerts(spark, d), _ts(FROM), _ts(TO)))
     return a.groupBy(C.stamp(F.col("bucket")).alias("bucket")).agg(F.round(F.sum("hours"), 4).alias("hours"), F.count("*").alias("n"))
 
 
 def alert_hours_per_local_day(spark, d):
-    a = I.split_hours(I.clip(_alerts(spark, d), FROM, TO))
+    a = I.split_hours(I.clip(_alerts(spark, d), _ts(FROM), _ts(TO)))
     days = a.groupBy(C.local_day(F.col("bucket")).cast("string").alias("day")).agg(F.round(F.sum("hours"), 4).alias("hours"))
     return days.orderBy(F.desc("hours"), "day").limit(10)
 
@@ -44,12 +48,12 @@ def alert_durations(spark, d):
 
 
 def alert_unions(spark, d):
-    m = I.merged(I.clip(_alerts(spark, d), FROM, TO), ["place_id"])
+    m = I.merged(I.clip(_alerts(spark, d), _ts(FROM), _ts(TO)), ["place_id"])
     return m.groupBy("place_id").agg(F.count("*").alias("islands"), F.sum("n").alias("n"), F.round(F.sum(I.seconds("start", "end") / 60), 3).alias("minutes"))
 
 
 def alerts_in_force(spark, d):
-    return I.in_force(_alerts(spark, d), AT).groupBy("place_id").agg(F.count("*").alias("n"))
+    return I.in_force(_alerts(spark, d), _ts(AT)).groupBy("place_id").agg(F.count("*").alias("n"))
 
 
 def facts_under_alert(spark, d):
@@ -59,7 +63,7 @@ def facts_under_alert(spark, d):
 
 
 def snapshot_at(spark, d):
-    r = N.as_of(B.facts(spark, d), "source_id", AT, "observed_at", "fact_id", F.expr("interval 3 hours"))
+    r = N.as_of(B.facts(spark, d), "source_id", _ts(AT), "observed_at", "fact_id", F.expr("interval 3 hours"))
     return r.select("source_id", "fact_id", "category", C.stamp(F.col("observed_at")).alias("observed_at"))
 
 
@@ -99,7 +103,7 @@ def place_lines(spark, d):
 
 def alerts_concerning(spark, d):
     p = B.places(spark, d)
-    live = I.in_force(_alerts(spark, d), AT).select("place_id", "start")
+    live = I.in_force(_alerts(spark, d), _ts(AT)).select("place_id", "start")
     live = live.unionByName(live.filter("place_id % 5 = 0").withColumn("place_id", F.col("place_id") % 25 + 100).filter("place_id < 105"))
     return N.related_alerts(live, p.select("place_id"), p).groupBy("place_id", "rank").agg(F.count("*").alias("n"))
 
