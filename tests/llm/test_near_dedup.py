@@ -122,3 +122,34 @@ def test_refined_buckets(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in N.classes(docs, N.Rule(small=3)).collect()}
     assert got == brute(rows)
+
+
+def test_star_of_copies_is_one_class(spark):
+    """Copies that are like the original, not like each other: no copy may leave the search before it met it."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    rows = [" ".join(words)]
+    for k in range(200):
+        copy = list(words)
+        for j in range(7):
+            copy[10 + j * 68 + rng.randrange(60)] = f"x{k}e{j}"
+        rows.append(" ".join(copy))
+    assert all(jaccard(weights(rows[0]), weights(t)) >= 0.86 for t in rows[1:5])
+    assert jaccard(weights(rows[1]), weights(rows[2])) < 0.8
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {r.class_id for r in N.classes(docs).collect()} == {0}
+
+
+def test_blocks_meet_all_of_a_bucket(spark):
+    """Chains of edits and several families in shared buckets, with blocks smaller than the buckets."""
+    rows, base = [], [f"w{i}" for i in range(200)]
+    for family in range(3):
+        text = list(base)
+        for k in range(14):
+            text[(k * 37 + family * 11) % 200] = f"f{family}k{k}"
+            rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    random.Random(6).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in N.classes(docs, N.Rule(small=3, rounds=1, block=7)).collect()}
+    assert got == brute(sorted(rows))

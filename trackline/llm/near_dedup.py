@@ -11,9 +11,9 @@ In each bucket every text meets the bucket's head; texts of small buckets also m
 whose signatures agree too rarely go, those that agree almost everywhere (four standard errors above the similarity)
 are links, and the rest are verified on their weighted grams. Classes are the connected
 components of the verified links. In large buckets the texts that are not in the head's class meet a new head among
-themselves, round by round. So a bucket makes as many pairs as it has texts in a round, never all; a text that is like
-some texts of a large class but not like the heads it meets (another one in each band) can miss it. Tests hold the
-classes against all pairs.
+themselves, round by round. Heads only join the bulk of a large bucket cheaply: at last all texts of a large bucket that
+are still in different classes meet, in blocks of bounded size, so no pair of a bucket stays open. That is quadratic in
+the texts of a bucket outside its largest class, on signatures alone. Tests hold the classes against all pairs.
 
 Null texts and texts without words are alone in their class. Rows with the same id form one document: its class is that
 of any of its texts (the least id joins them). A class is named by the least id in it.
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -42,7 +42,8 @@ class Rule:
     rows: int = 6
     slack: float = 0.14  # by which a signature may fall short of the similarity: four standard errors
     small: int = 12  # texts of a bucket that all meet each other
-    rounds: int = 2  # in which the texts of large buckets meet heads
+    rounds: int = 2  # in which the texts of large buckets meet heads, before the rest meet each other
+    block: int = 2000  # texts of a large bucket in one block
 
     @property
     def registers(self) -> int:
@@ -254,6 +255,48 @@ def _classes_of(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
+def _rest(buckets: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """``a, b, share`` of all pairs across classes in the large buckets of ``key, node, comp`` whose signatures agree enough.
+
+    A bucket's texts are dealt in order of class into blocks, and every two blocks meet unless both are of one class.
+    """
+    large = _heads(buckets).filter((F.col("n") > rule.small) & (F.col("lo") != F.col("hi"))).select("key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("comp", "node")) - 1
+    dealt = stored(buckets.join(large, "key").select("key", "node", "comp", F.floor(place / rule.block).cast("int").alias("block")), "dealt")
+    blocks = dealt.groupBy("key", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    i, j = (blocks.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("block", "lo", "hi")]) for end in "ij")
+    meet = i.join(j, "key").filter("block_i <= block_j and not (lo_i = hi_i and lo_j = hi_j and lo_i = lo_j)")
+    sides = meet.select("key", "block_i", "block_j", F.explode(F.array_distinct(F.array("block_i", "block_j"))).alias("block"))
+    groups = dealt.join(nodes.select("node", "sig"), "node").join(sides, ["key", "block"]).groupBy("key", "block_i", "block_j")
+
+    def run(group: pa.Table) -> pa.Table:
+        node, comp, block = (group[c].to_numpy() for c in ("node", "comp", "block"))
+        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
+        one, other = np.flatnonzero(block == group["block_i"][0].as_py()), np.flatnonzero(block == group["block_j"][0].as_py())
+        least, found = int(np.ceil((rule.similarity - rule.slack) * sig.shape[1])), []
+        theirs = np.ascontiguousarray(sig[other].T)
+        for at in range(0, len(one), 256):
+            rows = one[at : at + 256]
+            equal = np.zeros((len(rows), len(other)), np.uint16)
+            for r in range(sig.shape[1]):
+                equal += sig[rows, r][:, None] == theirs[r]
+            x, y = np.nonzero((equal >= least) & (comp[rows][:, None] != comp[other]))
+            found.append((node[rows[x]], node[other[y]], equal[x, y] / sig.shape[1]))
+        a, b, share = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "share": share})
+
+    return groups.applyInArrow(run, "a long, b long, share double").distinct()
+
+
+def _proved(open_: DataFrame, docs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Those of the pairs (a, b) whose texts are similar by their weighted grams."""
+    asked = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
+    texts = _folded_docs(docs).join(asked.select(F.col("node").alias("doc_id"), "digest"), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    grams = stored(_packed(texts, rule), "grams")
+    return stored(_with(open_, grams, "grams").filter(exact("grams_a", "grams_b") >= rule.similarity).select("a", "b"), "proved")
+
+
 def links(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, own: DataFrame, rule: Rule) -> DataFrame:
     """``node, comp`` of the nodes with a link. ``nodes`` has node, digest, sig, bands; ``own`` edges known beforehand."""
     sure_from = min(1.0, rule.similarity + rule.slack)
@@ -261,21 +304,26 @@ def links(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, own: DataFrame
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = stored(buckets.join(shared, "key"), "buckets")
     edges, comps = own, components(own) if not own.isEmpty() else own.selectExpr("a as node", "b as comp")
-    for step in range(1, rule.rounds + 1):
-        scored = _with(_pairs(_classes_of(buckets, comps), rule.small), nodes.select("node", "sig"), "sig").select("a", "b", agreement("sig_a", "sig_b").alias("share"))
-        scored = stored(scored.filter(F.col("share") >= rule.similarity - rule.slack), "scored")
-        edges = edges.unionByName(scored.filter(F.col("share") >= sure_from).select("a", "b"))
-        comps = components(edges)
+    every, tried = buckets, []
+
+    def judged(scored: DataFrame) -> None:
+        """Join the classes of the similar pairs among the scored ones."""
+        nonlocal edges, comps
+        sure = scored.filter(F.col("share") >= sure_from).select("a", "b")
+        if not sure.isEmpty():
+            edges = edges.unionByName(sure)
+            comps = components(edges)
         open_ = stored(_with(scored.filter(F.col("share") < sure_from).select("a", "b"), _classes_of(scored.select(F.explode(F.array("a", "b")).alias("node")).distinct(), comps), "comp").filter("comp_a <> comp_b").select("a", "b"), "open")
         if not open_.isEmpty():
-            asked = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "digest"), "node")
-            texts = _folded_docs(docs).join(asked.select(F.col("node").alias("doc_id"), "digest"), "doc_id")
-            texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-            grams = stored(_packed(texts, rule), "grams")
-            proved = stored(_with(open_, grams, "grams").filter(exact("grams_a", "grams_b") >= rule.similarity).select("a", "b"), "proved")
+            tried.append(open_.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+            proved = _proved(open_, docs, nodes, rule)
             if not proved.isEmpty():
                 edges = edges.unionByName(proved)
                 comps = components(edges)
+
+    for step in range(1, rule.rounds + 1):
+        scored = _with(_pairs(_classes_of(buckets, comps), rule.small), nodes.select("node", "sig"), "sig").select("a", "b", agreement("sig_a", "sig_b").alias("share"))
+        judged(stored(scored.filter(F.col("share") >= rule.similarity - rule.slack), "scored"))
         if step == rule.rounds:
             break
         met = _classes_of(buckets, comps)
@@ -283,6 +331,15 @@ def links(docs: DataFrame, sketched: DataFrame, nodes: DataFrame, own: DataFrame
         buckets = stored(met.join(heads, "key").filter(F.col("comp") != F.col("head.comp")).select("node", "key"), "buckets")
         if buckets.isEmpty():
             break
+    rest = _rest(_classes_of(every, comps), nodes, rule)
+    for pairs in tried[:]:
+        rest = rest.join(pairs, ["a", "b"], "left_anti")
+    rest = stored(rest, "rest")
+    # The likelier pairs first: what they join need not be verified.
+    for tier in (F.col("share") >= rule.similarity, F.col("share") < rule.similarity):
+        part = rest.filter(tier)
+        if not part.isEmpty():
+            judged(part)
     return comps
 
 
