@@ -77,3 +77,11 @@ def test_peak_entropy(spark, window):
     got = spark.createDataFrame([(v,) for v in values], "v string").select(S.peak_entropy(F.col("v"), window).alias("h")).collect()
     want = [max(-sum(c / window * math.log2(c / window) for c in Counter(v[i : i + window]).values()) for i in range(len(v) - window + 1)) for v in values]
     assert [r.h for r in got] == pytest.approx(want)
+
+
+def test_keys_glued_to_names(spark):
+    key = "A1B2C3D4E5A1B2C3D4E5"
+    texts = {f"x sig={key} y": [key], f"MY_{key}/b": [key], f"id=aaaaaaaa_k{key}": [key], "n=12345678901234567890": [], f"example={key}": [], f"v={'aB3' * 8}": []}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: [s.match for s in r[S.FOUND]] for r in S.scan(docs).collect()}
+    assert found == dict(enumerate(texts.values()))

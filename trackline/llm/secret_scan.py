@@ -20,10 +20,17 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 BASE, FOUND = "__base_spans", "__found_spans"  # names of the columns that scan() adds
+CANDIDATES, EXTRA = "__candidate_spans", "__extra_spans"  # and of those it drops
 
 # A candidate for the entropy test: a run of key characters, long enough, with a digit and a letter in it.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
 
+# Runs of a narrower class inside a candidate, such as a key glued to a name: maximal, long enough, with a digit and a letter.
+RUNS = {
+    "alphanumeric_bits": r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{20,}",
+    "hex_bits": r"(?<![A-Fa-f0-9])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[A-Fa-f0-9]{20,}",
+}
+
 
 @dataclass(frozen=True)
 class EntropyRule:
@@ -115,7 +122,8 @@ def scan(docs: DataFrame, text_col: str = "text", rule: EntropyRule = EntropyRul
     """Add the columns named BASE and FOUND: arrays of (start, rank, end, match) in order of start, then kind.
 
     BASE holds the fixed kinds: per kind leftmost matches that do not overlap, failing lengths dropped.
-    FOUND adds high-entropy strings that lie outside every base span and are not on the allow-list.
+    FOUND adds high-entropy strings that lie outside every base span and are not on the allow-list: candidates that reach
+    the limit of their own class, and in the others the runs of a narrower class that reach the limit of that class.
     Null and empty texts get two empty arrays. No shuffle: a row's spans are made where the row is.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -124,14 +132,29 @@ def scan(docs: DataFrame, text_col: str = "text", rule: EntropyRule = EntropyRul
     hexes = _spans(text, HEX, "hex")
     based = docs.withColumn(BASE, F.array_sort(F.concat(assign, access, hexes)))
 
+    def inside(s: Column, spans: str, but=None) -> Column:
+        return F.exists(F.col(spans), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]) & (F.lit(True) if but is None else but(b)))
+
+    def allowed(s: Column) -> Column:
+        return F.regexp_like(s["match"], F.lit(rule.allow))
+
     def secret(s: Column) -> Column:
-        outside = ~F.exists(F.col(BASE), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-        allowed = F.regexp_like(s["match"], F.lit(rule.allow))
         # Spark evaluates conjunctions from the left, so the costly entropy comes last.
-        return F.when(~outside, F.lit(False)).when(allowed, F.lit(False)).otherwise(peak_entropy(s["match"], rule.window) >= _alphabet_bits(s["match"], rule))
+        return F.when(inside(s, BASE), F.lit(False)).when(allowed(s), F.lit(False)).otherwise(peak_entropy(s["match"], rule.window) >= _alphabet_bits(s["match"], rule))
+
+    def narrower(bits: float):
+        def keep(s: Column) -> Column:
+            wider = inside(s, CANDIDATES, lambda c: (c["end"] - c["start"] > s["end"] - s["start"]) & ~allowed(c))
+            skip = F.when(~wider, F.lit(True)).when(inside(s, BASE), F.lit(True)).when(inside(s, EXTRA), F.lit(True)).otherwise(allowed(s))
+            return F.when(skip, F.lit(False)).otherwise(peak_entropy(s["match"], rule.window) >= bits)
+
+        return keep
 
-    extra = _spans(text, CANDIDATE, "entropy", secret)
-    return based.withColumn(FOUND, F.array_sort(F.concat(F.col(BASE), extra)))
+    judged = based.withColumn(CANDIDATES, _spans(text, CANDIDATE, "entropy"))
+    judged = judged.withColumn(EXTRA, F.filter(F.col(CANDIDATES), secret))
+    for name, pattern in RUNS.items():
+        judged = judged.withColumn(EXTRA, F.concat(F.col(EXTRA), _spans(text, pattern, "entropy", narrower(getattr(rule, name)))))
+    return judged.withColumn(FOUND, F.array_sort(F.concat(F.col(BASE), F.col(EXTRA)))).drop(CANDIDATES, EXTRA)
 
 
 def _listed(spans: Column) -> Column:
