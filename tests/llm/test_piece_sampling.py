@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from trackline.llm import piece_sampling as P
 from trackline.llm.lattice import Lattice, Units, vocabulary
@@ -63,8 +64,6 @@ def test_round_trip_and_batches():
 
 
 def test_columns(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
     rows = [(i, t, 1) for i, t in enumerate([*TEXTS, None])] + [(2, "the", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_pieces int")
     got = docs.withColumn("ids", P.encode(F.col("text"), F.col("doc_id"), PATH)).withColumn("back", P.decode(F.col("ids"), PATH)).collect()
@@ -76,3 +75,22 @@ def test_columns(spark, monkeypatch):
     assert P.report(docs.limit(0), PATH).count() == 0
     again = {(r.doc_id, r.ids_sha256) for r in P.report(docs.repartition(3), PATH).collect()}
     assert again == {(r.doc_id, r.ids_sha256) for r in report}
+
+
+def test_pieces_of_a_table(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLICE_CHARS", 50)
+    rows = [(i, t, i, "x") for i, t in enumerate([*TEXTS, None, TEXTS[3]])] + [(2, "the", 5, None), (99, "ab c" * 300_000, 1, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, N_pieces int, lang string")
+    got = P.pieces(docs, PATH)
+    assert got.columns == ["doc_id", "text", "lang", "piece_ids", "n_pieces", "lossless"]
+    out = got.collect()
+    assert len(out) == len(rows) and all(r.lossless for r in out)
+    by_id = {r.doc_id: r for r in out}
+    assert by_id[len(TEXTS)].piece_ids is None and by_id[len(TEXTS)].n_pieces == 0
+    vocab = vocabulary(PATH)
+    for r in out:
+        if r.text is not None:
+            assert r.n_pieces == len(r.piece_ids) and P.decoded(vocab, np.array(r.piece_ids)) == r.text
+    want = {(r.doc_id, tuple(r.ids)) for r in docs.filter("text is not null").select("doc_id", P.encode(F.col("text"), F.col("doc_id"), PATH).alias("ids")).collect()}
+    assert {(r.doc_id, tuple(r.piece_ids)) for r in out if r.text is not None} == want
+    assert P.pieces(docs.limit(0), PATH).count() == 0

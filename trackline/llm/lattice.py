@@ -81,11 +81,25 @@ class Vocabulary:
             whole[h] = i
         self.keys = np.array(sorted(whole), np.uint64)
         self.ids = np.array([whole[int(k)] for k in self.keys], np.int32)
-        self.ends = np.zeros(1 << BITS, bool)
-        self.ends[_slot(self.keys)] = True
+        slot = _slot(self.keys)
+        self.row = np.full(1 << BITS, -1, np.int32)  # of ``keys`` by slot; -2 where several share one
+        self.row[slot] = np.arange(len(slot), dtype=np.int32)
+        shared, many = np.unique(slot, return_counts=True)
+        self.row[shared[many > 1]] = -2
         self.starts = np.zeros(1 << BITS, bool)
         self.starts[_slot(np.fromiter(starts, np.uint64))] = True
 
+    def piece_at(self, h: np.ndarray) -> np.ndarray:
+        """The piece with each hash, -1 where there is none."""
+        row = self.row[_slot(h)]
+        doubt = np.flatnonzero(row == -2)
+        row[doubt] = np.searchsorted(self.keys, h[doubt]).clip(max=len(self.keys) - 1)
+        found = np.flatnonzero(row >= 0)
+        found = found[self.keys[row[found]] == h[found]]
+        out = np.full(len(h), -1, np.int32)
+        out[found] = self.ids[row[found]]
+        return out
+
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts, each behind a space, as one array of codes, and where each begins."""
         flat = np.frombuffer("".join([" " + t for t in texts]).encode("utf-32-le"), np.uint32).astype(np.int32)
@@ -144,12 +158,11 @@ class Lattice:
             h = _step(h, codes[at + n - 1])
             live = vocab.starts[_slot(h)]
             at, h = at[live], h[live]
-            maybe = np.flatnonzero(vocab.ends[_slot(h)])
-            key = np.searchsorted(vocab.keys, h[maybe]).clip(max=len(vocab.keys) - 1)
-            same = vocab.keys[key] == h[maybe]
-            begins.append(at[maybe[same]])
-            pieces.append(vocab.ids[key[same]])
-            lengths.append(np.full(int(same.sum()), n))
+            piece = vocab.piece_at(h)
+            whole = np.flatnonzero(piece >= 0)
+            begins.append(at[whole])
+            pieces.append(piece[whole])
+            lengths.append(np.full(len(whole), n))
             more = at + n < limit[at]
             at, h = at[more], h[more]
             if len(at) == 0:

@@ -6,7 +6,8 @@ on the row key, the seed and that place only, so a row gets the same pieces in a
 
 Decoding joins the pieces and takes off the dummy space; it gives back every text as it was, whatever its characters.
 A null text has no pieces (null in :func:`encode`); an empty one is a single word mark. Rows with equal key and text
-get equal pieces.
+get equal pieces. Texts are taken whole; a very long one is a piece of work of its own. Columns of the input other than
+text and key are passed through; those named as an added one are replaced. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from trackline.llm.common import mix64
+from trackline.llm.common import mix64, text_slices
 from trackline.llm.lattice import LITERAL_MARK, Lattice, Units, Vocabulary, vocabulary
 
 SLICE_CHARS = 1_500_000
@@ -55,7 +57,11 @@ def sample(vocab: Vocabulary, texts: list[str], keys: np.ndarray) -> tuple[np.nd
         inner = (place[alive] - units.start[alive] + zero[alive]).astype(np.uint64)
         with np.errstate(over="ignore"):
             draw = (mix64(seed[alive] + inner * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
-        arc = np.searchsorted(steps, node_steps[node[alive]] + draw, "right")
+        arc, target = lattice.first[node[alive]], node_steps[node[alive]] + draw
+        open_ = np.flatnonzero(steps[arc] <= target)  # a node has few arcs, so walking along them beats a search in all
+        while len(open_):
+            arc[open_] += 1
+            open_ = open_[steps[arc[open_]] <= target[open_]]
         chosen[place[alive]] = lattice.piece[arc]
         node[alive] = lattice.begin[arc]
         place[alive] -= lattice.length[arc]
@@ -82,29 +88,59 @@ def decoded(vocab: Vocabulary, ids: np.ndarray) -> str:
     return b"".join(map(vocab.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+def _ids(vocab: Vocabulary, texts: list[str | None], keys: np.ndarray) -> pa.ListArray:
+    flat, begins = sample(vocab, [t or "" for t in texts], keys)
+    return pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
+
+
 def encode(text: Column, key: Column, path: str, temperature: float = 1.0, seed: int = SEED) -> Column:
-    """Array of sampled piece ids of each text; ``key`` is the row key that seeds the draws."""
+    """Array of sampled piece ids of each text; ``key`` is the row key that seeds the draws.
+
+    The ids of a whole Arrow batch are held at once; for large tables :func:`pieces` sends them on slice by slice.
+    """
 
     @F.arrow_udf("array<int>")
     def ids(values: pa.Array, keys: pa.Array) -> pa.Array:
-        texts, seeds, parts = values.to_pylist(), keys.to_numpy(zero_copy_only=False), []
+        texts, seeds = values.to_pylist(), keys.to_numpy(zero_copy_only=False)
         vocab = vocabulary(path, temperature)
-        for a, b in _slices(texts):
-            flat, begins = sample(vocab, [t or "" for t in texts[a:b]], seeds[a:b])
-            missing = pa.array([t is None for t in texts[a:b]])
-            parts.append(pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(flat), mask=missing))
+        parts = [_ids(vocab, texts[a:b], seeds[a:b]) for a, b in _slices(texts)]
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
     return ids(text, F.xxhash64(key, F.lit(seed)))
 
 
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", temperature: float = 1.0, seed: int = SEED) -> DataFrame:
+    """``docs`` with ``piece_ids``, their number ``n_pieces`` (0 for a null text), and ``lossless``: decoding gave the text back.
+
+    Rows are encoded, decoded and sent on in slices of ``SLICE_CHARS``, so a task holds the ids of one slice.
+    """
+    added = T.StructType([T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.LongType()), T.StructField("lossless", T.BooleanType())])
+    kept = [c for c in docs.columns if c.lower() not in {f.name for f in added}]
+    seeded = docs.select(*kept, F.xxhash64(F.col(key), F.lit(seed)))
+    schema = T.StructType([*docs.select(*kept).schema.fields, *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path, temperature)
+        for batch in text_slices(batches, "text", SLICE_CHARS):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            ids = _ids(vocab, texts, batch.column(len(kept)).to_numpy())
+            flat, edges = ids.values.to_numpy(), ids.offsets.to_numpy()
+            spelled = [decoded(vocab, flat[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            same = pa.array([t is None or t == back for t, back in zip(texts, spelled, strict=True)])
+            count = pa.array([0 if t is None else n for t, n in zip(texts, np.diff(edges).tolist(), strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], ids, count, same], names=schema.names)
+
+    return seeded.mapInArrow(run, schema)
+
+
 def decode(ids: Column, path: str) -> Column:
     """The text of each array of piece ids; null for null."""
 
     @F.arrow_udf("string")
     def text(values: pa.Array) -> pa.Array:
-        vocab = vocabulary(path)
-        return pa.array([None if v is None else decoded(vocab, np.asarray(v, np.int32)) for v in values.to_pylist()], pa.string())
+        vocab, flat, edges = vocabulary(path), values.values.to_numpy(zero_copy_only=False), values.offsets.to_numpy()
+        spelled = zip(edges[:-1], edges[1:], values.is_null().to_pylist(), strict=True)
+        return pa.array([None if null else decoded(vocab, flat[a:b]) for a, b, null in spelled], pa.string())
 
     return text(ids)
 
