@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from trackline.llm import decontaminate, near_dedup, piece_sampling, secret_scan, toxicity
 from trackline.llm.common import stored, table
@@ -38,10 +37,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with its sampled piece ids, their number, and whether decoding gives the text back."""
-    path = public_tokenizers.path(PIECES)
-    encoded = docs.withColumn("piece_ids", piece_sampling.encode(F.col("text"), F.col("doc_id"), path))
-    back = piece_sampling.decode(F.col("piece_ids"), path)
-    return encoded.withColumn("n_pieces", F.size("piece_ids").cast("long")).withColumn("lossless", F.col("text").eqNullSafe(back))
+    return piece_sampling.pieces(docs, public_tokenizers.path(PIECES))
 
 
 STAGES = [
