@@ -59,7 +59,7 @@ def test_equals_full_alignment(spark):
     for i, t in enumerate(texts):
         for item, text in items:
             b = fold(text)
-            if len(b) < rule.q:
+            if len(b) < max(rule.q, rule.least):
                 continue
             starts = [0] if len(b) <= rule.segment else [*range(0, len(b) - rule.segment, rule.stride), len(b) - rule.segment]
             for s in starts:
@@ -97,3 +97,22 @@ def test_sliced_array_with_nulls():
     block = D.Block([(1, text.encode())], D.Rule())
     values = pa.array(["x", None, "pad " + text, text])
     assert [len(m) for m in block.matches(values.slice(1))] == [0, 1, 1]
+
+
+def test_every_excerpt_of_stated_length_is_found(spark):
+    """An excerpt of segment + stride - 1 bytes holds a whole segment wherever it is cut."""
+    rule, item = D.Rule(), fold(prose(120))
+    size = rule.segment + rule.stride - 1
+    docs = spark.createDataFrame([(i, "q" + item[i : i + size] + "q") for i in range(len(item) - size)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert D.report(docs, bench).count() == docs.count()
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    item = prose(40)
+    long = " ".join(prose(500) for _ in range(600)) + " " + item + " " + prose(500)
+    docs = spark.createDataFrame([(1, long, "a"), (1, long, "a"), (2, None, "b")], "doc_id long, text string, edits string")
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    assert len(long) > 1_000_000
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in D.report(docs, bench).collect()) == [(1, 1, 0), (1, 1, 0), (1, 2, 0), (1, 2, 0)]
+    assert D.remove(docs, bench).collect() == [(2, None, "b")]

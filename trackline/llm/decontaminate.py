@@ -1,27 +1,37 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are folded to lower-case letters and digits with single spaces. Items are cut into
-segments (short ones stay whole). If a segment of L bytes occurs in a text with at most e edits, they share at least
+overlapping segments (short ones stay whole), so that every excerpt of ``segment + stride - 1`` bytes of an item, about 25
+words, holds a whole segment and is found. If a segment of L bytes occurs in a text with at most e edits, they share at least
 L + 1 - q - q*e q-grams whose positions differ by nearly the same amount. So q-gram hits are counted in overlapping
 bands of diagonals; a band that meets its segment's count marks a region, and a banded alignment decides it.
 
-The benchmark is taken in blocks of bounded size, each small enough for every task; the corpus is never shuffled.
-Null and empty texts match nothing. Items with fewer letters and digits than one q-gram identify nothing and are left
-out; items with equal texts are all reported. Rows are judged alone, so repeated rows get equal results.
+The benchmark is taken in blocks of bounded size, each small enough for every task; the corpus is never shuffled. With
+more than one block, each block is a pass of its own whose result is written down before the next block is sent out, so
+one block at a time stands in memory whatever the benchmark's size.
+
+Null and empty texts match nothing. Items with fewer letters and digits than ``least`` bytes identify nothing and are left
+out; items with equal texts are all reported. Rows are judged alone, so repeated rows get equal results. Texts are taken
+whole, however long. An empty corpus or benchmark gives no match. Columns besides the id and the text are not read by
+:func:`report` and returned as they are by :func:`remove`, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackline.llm.common import stored
+
 BLOCK_BYTES = 8_000_000  # benchmark text of one block
 SLICE_BYTES = 1_000_000  # text worked on at once
 TABLE_BITS = 22
@@ -33,8 +43,9 @@ class Rule:
 
     q: int = 10
     edit_rate: float = 0.08
-    segment: int = 240
-    stride: int = 120
+    segment: int = 96
+    stride: int = 48
+    least: int = 20  # letters, digits and spaces of an item that identify it
 
 
 def folded(text: Column) -> Column:
@@ -86,7 +97,7 @@ class Block:
         self.q = rule.q
         self.items, self.texts = [], []
         for item, text in items:
-            if len(text) < rule.q:
+            if len(text) < max(rule.q, rule.least):
                 continue
             starts = [0] if len(text) <= rule.segment else [*range(0, len(text) - rule.segment, rule.stride), len(text) - rule.segment]
             for at in starts:
@@ -161,9 +172,22 @@ class Block:
         return [[{"item_id": i, "edits": e} for i, e in sorted(x.items())] for x in best]
 
 
-@lru_cache(maxsize=4)
-def _block(items: tuple, rule: Rule) -> Block:
-    return Block(list(items), rule)
+@lru_cache(maxsize=1)
+def _block(shared: Shared) -> Block:
+    return Block(shared.items.value, shared.rule)
+
+
+class Shared:
+    """A broadcast block of items, equal to others of the same broadcast."""
+
+    def __init__(self, items: Broadcast, rule: Rule):
+        self.items, self.rule, self.name = items, rule, uuid.uuid4().hex
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, Shared) and self.name == other.name
 
 
 def _slices(values: pa.Array) -> Iterator[pa.Array]:
@@ -174,7 +198,7 @@ def _slices(values: pa.Array) -> Iterator[pa.Array]:
         yield values.slice(a, b - a)
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[tuple]:
+def _blocks(benchmark: DataFrame) -> Iterator[list]:
     """The benchmark's items in blocks of at most about BLOCK_BYTES; one block at a time is on the driver."""
     block, size = [], 0
     rows = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", folded(F.col("text")).alias("text"))
@@ -182,37 +206,57 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple]:
         block.append((r.item_id, r.text.encode()))
         size += len(r.text)
         if size >= BLOCK_BYTES:
-            yield tuple(block)
+            yield block
             block, size = [], 0
     if block:
-        yield tuple(block)
+        yield block
+
 
+def matches(text: Column, shared: Shared) -> Column:
+    """Array of (item_id, edits): the items of the block of which the text holds a segment."""
 
-def matches(text: Column, benchmark: DataFrame, rule: Rule = Rule()) -> Column:
-    """Array of (item_id, edits): the benchmark items of which the text holds a segment."""
+    @F.arrow_udf("array<struct<item_id:long,edits:int>>")
+    def found(values: pa.Array) -> pa.Array:
+        block, out = _block(shared), []
+        for part in _slices(values):
+            out += block.matches(part)
+        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())])))
 
-    def column(items: tuple) -> Column:
-        shared = benchmark.sparkSession.sparkContext.broadcast(items)
+    return found(folded(text))
 
-        @F.arrow_udf("array<struct<item_id:long,edits:int>>")
-        def found(values: pa.Array) -> pa.Array:
-            block, out = _block(shared.value, rule), []
-            for part in _slices(values):
-                out += block.matches(part)
-            return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32())])))
 
-        return found(folded(text))
+def _passes(docs: DataFrame, benchmark: DataFrame, rule: Rule, one_pass: Callable, next_docs: Callable) -> list[DataFrame]:
+    """``one_pass(docs, shared)`` for each block, on ``next_docs(docs, result)`` of the block before.
 
-    columns = [column(items) for items in _blocks(benchmark)]
-    return F.concat(*columns) if columns else F.array().cast("array<struct<item_id:long,edits:int>>")
+    Results of several blocks are written down, and a block is freed before the next one goes out.
+    """
+    blocks, results = _blocks(benchmark), []
+    block = next(blocks, None)
+    while block is not None:
+        after = next(blocks, None)
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        result = one_pass(docs, Shared(sent, rule))
+        if results or after is not None:
+            result = stored(result, "benchmark-block")
+            sent.unpersist()
+        results.append(result)
+        docs, block = next_docs(docs, result), after
+    return results
 
 
 def report(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """One row per document row and benchmark item found in it; clean documents have no row."""
-    found = docs.select("doc_id", F.explode(matches(F.col("text"), benchmark, rule)).alias("m"))
-    return found.select("doc_id", F.col("m.item_id").alias("item_id"), F.col("m.edits").alias("edits"))
+
+    def found(rows: DataFrame, shared: Shared) -> DataFrame:
+        hits = rows.select("doc_id", F.explode(matches(F.col("text"), shared)).alias("m"))
+        return hits.select("doc_id", F.col("m.item_id").alias("item_id"), F.col("m.edits").alias("edits"))
+
+    none = docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("edits"))
+    parts = _passes(docs, benchmark, rule, found, lambda rows, _: rows)
+    return reduce(DataFrame.unionByName, parts) if parts else none
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark passage."""
-    return docs.filter(F.size(matches(F.col("text"), benchmark, rule)) == 0)
+    clean = lambda rows, shared: rows.filter(F.size(matches(F.col("text"), shared)) == 0)
+    return [docs, *_passes(docs, benchmark, rule, clean, lambda _, kept: kept)][-1]
