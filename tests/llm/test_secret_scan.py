@@ -1,6 +1,8 @@
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -83,5 +85,31 @@ def test_keys_glued_to_names(spark):
     key = "A1B2C3D4E5A1B2C3D4E5"
     texts = {f"x sig={key} y": [key], f"MY_{key}/b": [key], f"id=aaaaaaaa_k{key}": [key], "n=12345678901234567890": [], f"example={key}": [], f"v={'aB3' * 8}": []}
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    found = {r.doc_id: [s.match for s in r[S.FOUND]] for r in S.scan(docs).collect()}
+    rows, _, name = S.scan(docs)
+    found = {r.doc_id: [s.match for s in r[name]] for r in rows.collect()}
     assert found == dict(enumerate(texts.values()))
+
+
+def test_many_matches_in_one_text(spark):
+    """Long texts with thousands of spans of each kind; blocks of the running sums are crossed."""
+    rng = random.Random(3)
+    kinds = [lambda: "%032x" % rng.getrandbits(128), lambda: "token=" + "%06x" % rng.getrandbits(24), lambda: "word", lambda: "AKIA" + "A9" * 9, lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(30)), lambda: "é😀"]
+    texts = [" ".join(rng.choice(kinds)() for _ in range(n)) for n in (63, 64, 65, 129, 9000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in S.report(docs).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    for r in S.mask(docs).collect():
+        spans, last = sorted(tuple(map(int, x.split(":")[1:])) for x in got[r.doc_id][4].split(",")), 0
+        want = ""
+        for a, b in spans:
+            if a >= last:
+                want += texts[r.doc_id][last:a] + "[SECRET]"
+            last = max(last, b)
+        assert r.text == want + texts[r.doc_id][last:]
+
+
+def test_long_text_and_clashing_names(spark):
+    text = "plain words " * 100_000 + "token=abcdef1 end"
+    docs = spark.createDataFrame([(1, text, "a", "b"), (2, None, "c", "d")], "doc_id long, text string, base_spans string, FOUND_SPANS string")
+    rows = {r.doc_id: r for r in S.mask(docs).collect()}
+    assert rows[1].text.endswith("plain words [SECRET] end") and tuple(rows[1])[2:] == ("a", "b") and tuple(rows[2]) == (2, None, "c", "d")
