@@ -74,3 +74,63 @@ def test_nothing_to_learn_from(spark):
 def test_context(text, quoted):
     model = T.Model(0.0, {"idiot": 0.99}, {}, {}, T.Rule())
     assert (model.score(text)[0] < 0.5) == quoted
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    rule = T.Rule()
+    model = T.Model(0.01, {t: 0.99 for t in TERMS}, {}, {}, rule)
+    texts = [" ".join(RNG.choice([*WORDS, "idi0t", "scum", "wortless"]) for _ in range(40)) for _ in range(60)]
+    want = [model.score(t) for t in texts]
+    monkeypatch.setattr(T, "MAX_CACHED", 5)
+    monkeypatch.setattr(T, "MAX_STATES", 5)
+    small = T.Model(0.01, {t: 0.99 for t in TERMS}, {}, {}, rule)
+    assert [small.score(t) for t in texts] == want
+
+
+def test_more_terms_than_the_old_limit(spark):
+    """Every word that meets the thresholds is a term, however many there are."""
+    terms = sorted({"".join(RNG.choice("klmnopqrstuvwxyz") for _ in range(RNG.randint(6, 11))) for _ in range(2400)})
+    rows, labels = [], []
+    for i in range(300):
+        words = [RNG.choice(WORDS) for _ in range(40)] + (RNG.sample(terms, 300) if i % 2 else [])
+        RNG.shuffle(words)
+        rows.append((3 * i, " ".join(words)))
+        labels.append((3 * i, 1, i % 2))
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = T.train(docs, marked)
+    assert len(set(terms) & set(model.terms)) > 2000
+
+
+def test_rows_equal_brute_force(spark):
+    """The query's rows against the definition with plain edit distances over the learned model."""
+    rows, labels = made(240)
+    rows += [(900, None), (901, ""), (902, " ".join(WORDS[:50] * 4000) + " idiot"), (903, 'he said "idi0t" ok')]
+    docs, marked = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, rule = T.train(docs, marked), T.Rule()
+    seen: dict[str, float] = {}
+
+    def chance(word):
+        if word not in seen:
+            p = model.terms.get(word) or model.forms.get(word)
+            if p is None:
+                near = sorted((distance(word, t), t) for t in model.terms if abs(len(t) - len(word)) <= 1 and distance(word, t) <= rule.edits(t))
+                p = model.terms[near[0][1]] * model.sure.get(near[0][1], rule.misspelled) if near else 0.0
+            seen[word] = p if p >= rule.min_chance else 0.0
+        return seen[word]
+
+    def score(text):
+        text, best, before = (text or "").lower(), {}, []
+        for m in T.WORD.finditer(text):
+            if chance(m[0]):
+                p = chance(m[0]) * (rule.quoted if model.quotes(text, m.start(), m.end(), before) else 1)
+                best[m[0]] = max(best.get(m[0], 0), p)
+            before = [*before[-3:], m[0]]
+        clean = 1 - model.base
+        for p in best.values():
+            clean *= 1 - p
+        return 1 - clean
+
+    got = {r.doc_id: (r.score, r.predicted) for r in T.report(docs, marked).collect()}
+    for i, text in rows:
+        want = score(text)
+        assert got[i][0] == pytest.approx(want) and got[i][1] == int(want >= 0.7)

@@ -7,7 +7,13 @@ step per character and most words die after two or three. Misspelled forms seen
 
 A match counts less inside quotation marks or after a reporting word, so one quoted term does not condemn a text. The
 score is one minus the chance that neither the text's base rate nor any match makes it toxic. Null and empty texts have
-no match and get the base rate. Repeated rows get equal scores; of several labels of a document the highest counts.
+no match and get the base rate; an empty table gives an empty one. Texts are scored whole, however long. Repeated rows get
+equal scores; of several labels of a document the highest counts. Only ``doc_id``, ``text`` and ``toxic`` are read, and
+:func:`remove` returns all columns as they are, so other columns' names cannot clash.
+
+The lexicon and its forms are all the words of the labelled rows that meet the thresholds; their number is bounded by the
+bounded number of those rows alone. What a worker remembers of words and automaton states is forgotten beyond a limit and
+made anew.
 """
 
 from __future__ import annotations
@@ -26,14 +32,13 @@ WORD = re.compile(r"\w+")
 QUOTES = "\"'“”„«»‘’`"
 # Words that announce somebody else's words.
 REPORTING = frozenset("said says called calls wrote writes quote quotes quoted quoting word term insult dit appelle mot terme sagte nannte wort zitat dijo llama palabra".split())
-MAX_CACHED = 400_000
+MAX_CACHED = 400_000  # words that a worker remembers
+MAX_STATES = 100_000  # automaton states that it remembers
 
 
 @dataclass(frozen=True)
 class Rule:
     max_labelled: int = 20_000  # bound of the labelled rows that the lexicon is learned from, by id hash
-    max_terms: int = 2_000
-    max_forms: int = 20_000
     min_texts: int = 6  # toxic texts that a term stands in
     min_share: float = 0.9  # of the texts with the term that are toxic
     min_chance: float = 0.6  # below it, a form is no match
@@ -68,6 +73,9 @@ class Automaton:
                 self.allowed[node] = max(self.allowed[node], n)
             self.term[node] = term
         self.alphabet = {c for kids in self.children for c in kids}
+        self._forget()
+
+    def _forget(self) -> None:
         self.sets: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.accepts: list[str | None] = []
@@ -103,6 +111,8 @@ class Automaton:
 
     def match(self, word: str) -> str | None:
         """The nearest term within its edits, first by name among equals; None if there is none."""
+        if len(self.sets) > MAX_STATES:
+            self._forget()
         at, dead = self.start, None
         for c in word:
             c = c if c in self.alphabet else "\0"
@@ -143,8 +153,9 @@ class Model:
         return p if p >= self.rule.min_chance else 0.0
 
     def matched(self, words: set[str]) -> set[str]:
-        if len(self.clean) > MAX_CACHED:
+        if len(self.clean) + len(self.hits) > MAX_CACHED:
             self.clean.clear()
+            self.hits.clear()
         for w in words - self.clean - self.hits.keys():
             p = self.chance(w)
             if p > 0:
@@ -230,8 +241,7 @@ def _forms(counts: DataFrame, terms: dict[str, float], rule: Rule) -> tuple[dict
 
     near = counts.withColumn("term", nearest("word")).filter(F.col("term").isNotNull() & (F.col("term") != F.col("word"))).persist()
     texts = F.col("toxic") + F.col("clean")
-    frequent = near.filter(texts >= rule.frequent).orderBy(F.desc(texts), "word").limit(rule.max_forms)
-    forms = {r.word: r.toxic / (r.toxic + r.clean + 0.5) for r in frequent.collect()}
+    forms = {r.word: r.toxic / (r.toxic + r.clean + 0.5) for r in near.filter(texts >= rule.frequent).collect()}
     rare = near.filter(texts < rule.frequent).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     sure = {r.term: (r.toxic + rule.misspelled) / (r.toxic + r.clean + 1) for r in rare.collect()}
     near.unpersist()
@@ -245,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, rul
     counts = _word_counts(labelled).persist()
     chance = F.col("toxic") / (F.col("toxic") + F.col("clean") + 0.5)
     chosen = counts.filter((F.col("toxic") >= rule.min_texts) & (chance >= rule.min_share) & (F.bit_count("around") >= rule.min_surroundings) & (F.length("word") >= 3))
-    terms = {r.word: r.p for r in chosen.select("word", chance.alias("p"), "toxic").orderBy(F.desc("toxic"), "word").limit(rule.max_terms).collect()}
+    terms = {r.word: r.p for r in chosen.select("word", chance.alias("p")).collect()}
     forms, sure = _forms(counts, terms, rule) if terms else ({}, {})
     counts.unpersist()
     shared = spark.sparkContext.broadcast(Model(0.0, terms, forms, sure, rule))
