@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_SHARED_DIR = "/tmp/trackline-shared"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark from whatever store holds it."""
@@ -20,9 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own; a
+    cluster has to name one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return (configured or DEFAULT_SHARED_DIR).rstrip("/")
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="trackline-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
