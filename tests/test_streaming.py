@@ -24,6 +24,19 @@ def test_pairs_equal_batch(spark, tmp_path):
     batch = C.candidates(C.fingerprints(df))
     key = lambda d: {(r.copy, r.original) for r in d.collect()}
     assert key(got) == key(batch) and key(batch)
+    assert got.count() == len(key(got))  # each pair once
+
+
+def test_alert_states_in_any_order(spark, tmp_path):
+    at = lambda h: T0 + timedelta(hours=h)
+    rows = [(1, 7, "finished", at(5), None, None, 2), (1, 7, "started", at(1), None, "yellow", 3), (1, 7, "started", at(2), at(9), "red", 4), (2, 7, "started", at(3), None, None, 1)]
+    schema = "source_id int, alert_id int, kind string, at timestamp, finished_at timestamp, level string, arrival long"
+    for i, row in enumerate(rows):
+        spark.createDataFrame([row], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    stream = spark.readStream.schema(spark.createDataFrame(rows, schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    got = run(jobs.alert_states(stream), spark, tmp_path, "update")
+    last = {r.source_id: (r.start, r.end, r.level) for r in got.orderBy("batch").collect()}
+    assert last == {1: (at(1), at(5), "red"), 2: (at(3), None, None)}
 
 
 def test_windows_and_replaced_days(spark, tmp_path):

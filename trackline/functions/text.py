@@ -135,10 +135,14 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(t, r"[^\p{L}\p{N}\n.,!?;:'\"/+%°()-]+", " ")
 
 
-def segments(text: Column) -> Column:
-    """Sentences of each line; a point between digits, or behind one letter or a short known word, ends none."""
+def segments(text: Column, questions: bool = False) -> Column:
+    """Sentences of each line; a point between digits, or behind one letter or a short known word, ends none.
+
+    With ``questions``, a sentence keeps its question mark.
+    """
+    ends = r"[.!;]+|(?<=\?)(?!\?)" if questions else r"[.!?;]+"
     held = F.regexp_replace(text, r"(?<=\p{N})\.(?=\p{N})|(?<=\b(?:м|с|р|н|ст|обл|вул|св|ім|st|no|mr|dr)\b)\.", "\u0001")
-    parts = F.flatten(F.transform(F.split(held, "\n"), lambda v: F.split(v, r"[.!?;]+")))
+    parts = F.flatten(F.transform(F.split(held, "\n"), lambda v: F.split(v, ends)))
     trimmed = F.transform(parts, lambda v: F.trim(F.regexp_replace(F.translate(v, "\u0001", "."), r"^[\s•▪*·-]+", "")))
     return F.filter(trimmed, lambda v: v != "")
 

@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none, a local session gets one of its own; a
+    cluster has to name one."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="trackline-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured.rstrip("/")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once in the folder that all executors share and read from there."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/trackline-shared').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -20,7 +33,8 @@ def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``node, comp`` for edges (a, b): each node with the least node of its component.
 
     Every node takes the least label among its neighbours' and then its label's own label, so labels travel twice as far
-    each round; a round is written down, and the loop ends when no label changed.
+    each round; a round is written down, and the loop ends when no label changed. If ``rounds`` do not get there, it is an
+    error, never a partial result.
     """
     pairs = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
     labels = written(pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
@@ -33,4 +47,4 @@ def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
         labels = moved.select("node", F.col("low").alias("comp"))
         if not changed:
             return labels
-    return labels
+    raise RuntimeError(f"components are not stable after {rounds} rounds")

@@ -13,11 +13,20 @@ def seconds(a: str | Column, b: str | Column) -> Column:
     return F.timestamp_diff("MICROSECOND", a, b) / 1e6
 
 
-def pair_events(events: DataFrame, key: str, ts: str, opens: Column, closes: Column, order: list[str]) -> DataFrame:
-    """``key, start, end`` of every opening event; the end is the key's next closing event, null if there is none."""
-    w = Window.partitionBy(key).orderBy(ts, *order).rowsBetween(1, Window.unboundedFollowing)
-    nearest = F.min(F.when(closes, F.col(ts))).over(w)
-    return events.filter(opens | closes).withColumn("__end", nearest).filter(opens).select(key, F.col(ts).alias("start"), F.col("__end").alias("end"))
+def pair_events(events: DataFrame, key: str, ts: str, opens: Column, closes: Column, order: list[str], slice_hours: int = 24) -> DataFrame:
+    """``key, start, end`` of every opening event; the end is the key's next closing event, null if there is none.
+
+    A key's history is cut into time slices: within one, a running minimum from the latest event back finds the next
+    closing event; where a slice has none left, it is the first one of the slices behind it, of which only that minimum is
+    carried. So a key of any length is many tasks, each linear in its events.
+    """
+    rows = events.filter(opens | closes).select(key, ts, *order, opens.alias("__open"), F.when(closes, F.col(ts)).alias("__close"))
+    rows = rows.withColumn("__slice", F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (slice_hours * 3_600_000_000)))
+    later = Window.partitionBy(key).orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(key, "__slice").agg(F.min("__close").alias("__first")).withColumn("__carried", F.min("__first").over(later)).drop("__first")
+    within = Window.partitionBy(key, "__slice").orderBy(F.desc(ts), *[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("__next", F.min("__close").over(within)).filter("__open").join(carried, [key, "__slice"])
+    return found.select(key, F.col(ts).alias("start"), F.coalesce("__next", "__carried").alias("end"))
 
 
 def structured_alerts(events: DataFrame) -> DataFrame:

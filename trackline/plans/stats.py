@@ -95,7 +95,7 @@ def received_per_source_hour(spark, d):
 def dense_day_series(spark, d):
     facts = B.facts(spark, d)
     days = C.spine(spark, DAY0, DAY1, "day")
-    counts = S.per_bucket(facts.filter("k < 3"), "day")
+    counts = S.per_bucket(facts, "day")
     return _stamped(S.dense(counts, days, facts.select("category").distinct(), "bucket", "category", "n"), "bucket")
 
 
@@ -202,7 +202,7 @@ SQL = {
     "received_per_source_hour": f"""WITH {_F}, g AS (SELECT * FROM (SELECT DISTINCT place_id FROM facts), (SELECT CAST(range AS INTEGER) AS hour FROM range(24)))
       SELECT place_id, hour, count(fact_id) AS n FROM g LEFT JOIN (SELECT fact_id, place_id, CAST(hour(observed_at) AS INTEGER) AS hour FROM facts) USING (place_id, hour) GROUP BY 1, 2""",
     "dense_day_series": f"""WITH {_F}, days AS (SELECT timezone('UTC', timezone('Europe/Kyiv', CAST(range AS TIMESTAMP))) AS b FROM range(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY)),
-      g AS (SELECT * FROM days, (SELECT DISTINCT category FROM facts)), f AS (SELECT {DAY_START.format('observed_at', 'day')} AS b, category FROM facts WHERE k < 3)
+      g AS (SELECT * FROM days, (SELECT DISTINCT category FROM facts)), f AS (SELECT {DAY_START.format('observed_at', 'day')} AS b, category FROM facts)
       SELECT {STAMP.format('g.b')} AS bucket, g.category, count(f.b) AS n FROM g LEFT JOIN f ON f.b = g.b AND f.category = g.category GROUP BY 1, 2""",
     "posts_and_edits": "SELECT role AS source, count(DISTINCT conv_id) AS posts, count(*) AS rows, count(*) - count(DISTINCT conv_id) AS edits FROM conversations GROUP BY 1",
     "delay_histogram": f"""WITH {_W} SELECT CAST(len(list_filter([0, 30, 60, 365, 1000], lambda e: {_LAG} >= e * 86400)) AS INTEGER) AS bin, count(*) AS n FROM worked WHERE processed_at IS NOT NULL GROUP BY 1""",

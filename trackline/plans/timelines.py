@@ -88,7 +88,8 @@ def fact_feed(spark, d):
 
 def merged_live_feed(spark, d):
     f = B.facts(spark, d).select("fact_id", "observed_at")
-    return N.merged_feed(f.filter("fact_id % 3 = 0"), f.filter("fact_id % 2 = 0"), "fact_id", "observed_at", F.expr("timestamp_ntz'2024-01-30 00:00:00'")).select("fact_id")
+    stored, fresh = f.filter("observed_at < timestamp_ntz'2024-01-30 18:00:00'"), f.filter("observed_at >= timestamp_ntz'2024-01-30 12:00:00'")  # they overlap
+    return N.merged_feed(stored, fresh, "fact_id", "observed_at", F.expr("timestamp_ntz'2024-01-30 00:00:00'")).select("fact_id")
 
 
 def change_freshness(spark, d):
@@ -115,7 +116,7 @@ def timeline(spark, d):
 
 
 def sources_per_place(spark, d):
-    s = N.sources_of(B.facts(spark, d).filter("k < 25"), "place_id", "source_id")
+    s = N.sources_of(B.facts(spark, d), "place_id", "source_id")
     return s.select("place_id", F.array_join(F.transform("sources", lambda x: x.cast("string")), ",").alias("sources"))
 
 
@@ -152,7 +153,7 @@ SQL = {
     "deduped_samples": f"""WITH {_F} SELECT source_id, count(*) AS n, CAST(sum(fact_id) AS BIGINT) AS ids FROM (
       SELECT *, lag(category) OVER (PARTITION BY source_id ORDER BY observed_at, fact_id) AS prev FROM facts) WHERE prev IS DISTINCT FROM category GROUP BY 1""",
     "fact_feed": f"WITH {_F} SELECT fact_id, category, place_id FROM facts WHERE observed_at >= TIMESTAMP '2024-01-30 18:00:00' ORDER BY observed_at DESC, fact_id DESC LIMIT 300",
-    "merged_live_feed": f"WITH {_F} SELECT fact_id FROM facts WHERE (fact_id % 3 = 0 OR fact_id % 2 = 0) AND observed_at >= TIMESTAMP '2024-01-30' ORDER BY observed_at DESC, fact_id DESC LIMIT 500",
+    "merged_live_feed": f"WITH {_F} SELECT fact_id FROM facts WHERE observed_at >= TIMESTAMP '2024-01-30' ORDER BY observed_at DESC, fact_id DESC LIMIT 500",
     "change_freshness": f"""WITH {_F} SELECT category AS kind, coalesce(date_diff('second', observed_at, TIMESTAMP '2024-01-31') - CASE WHEN (epoch_us(observed_at) % 1000000) > 0 THEN 1 ELSE 0 END
       <= CASE category WHEN 'view' THEN 86400 WHEN 'click' THEN 3600 WHEN 'error' THEN 864000 END, false) AS fresh, count(*) AS n FROM facts GROUP BY 1, 2""",
     "place_lines": f"WITH {_P} SELECT place_id, place_id AS ancestor, 0 AS steps FROM places UNION ALL SELECT place_id, parent_id, 1 FROM places WHERE parent_id IS NOT NULL",
@@ -162,7 +163,7 @@ SQL = {
       SELECT place_id, rank, count(*) AS n FROM r JOIN l USING (p) GROUP BY 1, 2""",
     "timeline": f"""WITH {_F} SELECT {STAMP.format("date_trunc('hour', observed_at)")} AS bucket, count(*) AS facts, count(DISTINCT source_id) AS sources FROM facts GROUP BY 1""",
     "alert_intervals": f"""WITH {_F}, {_A} SELECT place_id, {STAMP.format('"start"')} AS "start", {STAMP.format('"end"')} AS "end" FROM alerts""",
-    "sources_per_place": f"""WITH {_F} SELECT place_id, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS sources FROM facts WHERE k < 25 GROUP BY 1""",
+    "sources_per_place": f"""WITH {_F} SELECT place_id, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS sources FROM facts GROUP BY 1""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

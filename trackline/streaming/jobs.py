@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -20,16 +22,18 @@ def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int =
 def near_duplicates(messages: DataFrame, rule: C.Rule = C.Rule()) -> DataFrame:
     """Candidate pairs of messages of different sources that share a band within the time limit, whichever came first.
 
-    Both sides carry a watermark of that limit, so the join's state is bounded; a late original still meets its copies.
+    Both sides carry a watermark of that limit, so the join's state is bounded; a late original still meets its copies. A
+    pair comes once, from the first band that the two share, without further state.
     ``messages``: raw_message_id, source, text, published_at (timestamp).
     """
-    prints = C.fingerprints(messages, rule).select("raw_message_id", "source", "published_at", F.explode("bands").alias("band"))
+    prints = C.fingerprints(messages, rule).select("raw_message_id", "source", "published_at", "bands", F.explode("bands").alias("band"))
     a = prints.select(*[F.col(c).alias(f"a_{c}") for c in prints.columns]).withWatermark("a_published_at", f"{rule.hours} hours")
     b = prints.select(*[F.col(c).alias(f"b_{c}") for c in prints.columns]).withWatermark("b_published_at", f"{rule.hours} hours")
     span = F.expr(f"interval {rule.hours} hours")
     near = (F.col("b_published_at") >= F.col("a_published_at") - span) & (F.col("b_published_at") <= F.col("a_published_at") + span)
     later = (F.col("a_published_at") > F.col("b_published_at")) | ((F.col("a_published_at") == F.col("b_published_at")) & (F.col("a_raw_message_id") > F.col("b_raw_message_id")))
     pairs = a.join(b, (F.col("a_band") == F.col("b_band")) & near & (F.col("a_source") != F.col("b_source")) & later)
+    pairs = pairs.filter(F.get(F.array_intersect("a_bands", "b_bands"), F.lit(0)) == F.col("a_band"))
     return pairs.select(F.col("a_raw_message_id").alias("copy"), F.col("b_raw_message_id").alias("original"))
 
 
@@ -49,10 +53,41 @@ def first_of_each(messages: DataFrame, keys: list[str], late: str = "1 hour", ts
     return messages.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def alert_states(events: DataFrame) -> DataFrame:
-    """Update mode: start, end and level of each alert so far, in whatever order its events arrive."""
-    ends = F.when(F.col("kind") == "finished", F.col("at")).otherwise(F.col("finished_at"))
-    return events.groupBy("source_id", "alert_id").agg(F.min(F.when(F.col("kind") == "started", F.col("at"))).alias("start"), F.min_by(ends, F.when(ends.isNotNull(), F.col("arrival"))).alias("end"), F.max_by("level", F.when(F.col("level").isNotNull(), F.col("arrival"))).alias("level"))
+ALERT = "source_id int, alert_id int, start timestamp, end timestamp, level string"
+ALERT_STATE = "start timestamp, end timestamp, end_arrival long, level string, level_arrival long"
+
+
+def alert_states(events: DataFrame, keep: str = "7 days") -> DataFrame:
+    """Update mode: start, end and level of each alert so far, in whatever order its events arrive.
+
+    The start is the least one, the end the first that arrived, the level the last one stated. An alert's state goes when
+    the watermark is ``keep`` past its last event, so state is bounded by the alerts of that time.
+    ``events``: source_id int, alert_id int, kind, at timestamp, finished_at timestamp, level string, arrival long.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        start, end, end_arrival, level, level_arrival = state.get if state.exists else (None,) * 5
+        newest = None
+        for batch in batches:
+            for e in batch.sort_values("arrival").itertuples():
+                at, closed = (None if pd.isna(v) else pd.Timestamp(v).to_pydatetime() for v in (e.at, e.at if e.kind == "finished" else e.finished_at))
+                if e.kind == "started" and at is not None:
+                    start = at if start is None else min(start, at)
+                if closed is not None and (end_arrival is None or e.arrival < end_arrival):
+                    end, end_arrival = closed, int(e.arrival)
+                if not pd.isna(e.level) and (level_arrival is None or e.arrival > level_arrival):
+                    level, level_arrival = e.level, int(e.arrival)
+                newest = at if newest is None or (at is not None and at > newest) else newest
+        state.update((start, end, end_arrival, level, level_arrival))
+        if newest is not None:
+            limit = pd.Timestamp(newest) + pd.Timedelta(keep)
+            state.setTimeoutTimestamp(max(int(limit.timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"source_id": [key[0]], "alert_id": [key[1]], "start": [start], "end": [end], "level": [level]})
+
+    return events.withWatermark("at", keep).groupBy("source_id", "alert_id").applyInPandasWithState(step, ALERT, ALERT_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def into_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
