@@ -33,3 +33,22 @@ def test_clean_documents_stay(spark):
         kept = stages[name](spark, docs, D)
         assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(docs.collect())
     assert stages["toxicity"](spark, docs, D).filter(F.col("doc_id").isNotNull()).count() == 8
+
+
+def test_edges_of_every_stage(spark):
+    """Nulls, empty and very long texts, repeated rows, missing ids, clashing column names; then an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, times string, found_spans int, matched string, __n int"
+    long = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, None), (2, ""), (3, "one short text of some words"), (3, "one short text of some words"), (None, "no id here"), (4, long), (5, "token=abcdef123 é😀")]
+    docs = spark.createDataFrame([(i, t, None, "s", None, "t", 1, "m", 2) for i, t in rows], schema)
+    assert len(long) > 1_000_000
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, D)
+        got = out.collect()
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert out.columns[: len(docs.columns)] == docs.columns and (last or out.columns == docs.columns)
+        assert len(got) == len(rows) - (name == "near-duplicates")
+        assert all(r.times == "t" and r.found_spans == 1 and r.matched == "m" and r["__n"] == 2 for r in got)
+        assert all(r.text == dict(rows)[r.doc_id] for r in got if r.doc_id != 5 or name != "secrets")
+        assert not last or all(r.lossless for r in got)
+        assert stage(spark, docs.limit(0), D).count() == 0

@@ -216,7 +216,7 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = WORD.findall(text.lower())
                 seen = set()
-                for before, word, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
+                for before, word, after in zip(["", *words], words, [*words[1:], ""], strict=False):
                     entry = total.setdefault(word, [0, 0, 0])
                     if word not in seen:
                         seen.add(word)
