@@ -133,6 +133,10 @@ SQL = {
     "source_ratings": f"""WITH {_F}, {_R}, {_D} SELECT source_id, CAST(sum(facts) AS BIGINT) AS facts, CAST(sum(copies) AS BIGINT) AS copies, CAST(sum(copied_by) AS BIGINT) AS copied_by,
       round(sum(rating * facts) / sum(facts), 9) AS rating FROM rated GROUP BY 1""",
     "source_copy_pairs": f"WITH {_F}, {_R} SELECT copy_source, original_source, count(*) AS n, round(avg(lead_time), 3) AS mean_delay_s FROM rep GROUP BY 1, 2",
+    "source_groups": f"""WITH RECURSIVE {_F}, {_R}, tot AS (SELECT source_id, count(*) AS facts FROM facts GROUP BY 1),
+      strong AS (SELECT copy_source AS a, original_source AS b FROM rep JOIN tot ON source_id = copy_source GROUP BY 1, 2, facts HAVING count(*) >= 2 AND count(*) >= 0.02 * facts),
+      tied AS (SELECT a, b FROM strong UNION SELECT b, a FROM strong), reach AS (SELECT a AS node, a AS r FROM tied UNION SELECT node, b FROM reach JOIN tied ON a = r)
+      SELECT node AS source_id, min(r) AS group_id FROM reach GROUP BY 1""",
     "best_chains": f"""WITH RECURSIVE {_F}, {_E}, best AS (SELECT to_id, arg_max(from_id, (probability, from_id)) AS prev FROM edges GROUP BY 1),
       chain AS (SELECT head, 0 AS step, head AS fact_id FROM heads UNION ALL SELECT head, step + 1, prev FROM chain JOIN best ON to_id = fact_id WHERE step < 6) SELECT * FROM chain""",
     "link_predecessors": f"WITH RECURSIVE {_F}, {_E}, {_WALK.format(3)} SELECT head, fact_id, min(generation) AS generation, round(max(path), 6) AS path FROM walk WHERE generation > 0 GROUP BY 1, 2",
