@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from trackline.operators.components import connected
+from trackline.operators.slices import passed, slot
 
 
 def content_hash(df: DataFrame, code: str, text: str, payload: str) -> DataFrame:
@@ -50,32 +52,37 @@ def mark_repeats(facts: DataFrame, minutes: float = 3) -> DataFrame:
 
     ``facts``: fact_id, raw_message_id, event_type, category, class_id, place_id, dest_id, observed_at. The same: event,
     category, place (or destination where neither has a place), classes equal or one unknown, at most ``minutes`` apart.
-    A duplicate cannot be an original, so facts are passed in order; a silence longer than the limit cuts the facts of one
-    place into islands, and each island is passed alone.
+    A duplicate cannot be an original, so the facts of a place are passed in order, slice by slice (``slices.passed``); what
+    a slice hands over are its originals within ``minutes`` of its end.
     """
     place = F.when(F.col("place_id").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("place_id").cast("long").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("dest_id").cast("long").alias("id")))
-    w = Window.partitionBy("event_type", "category", "__place").orderBy("observed_at", "fact_id")
-    gap = F.timestamp_diff("MICROSECOND", F.lag("observed_at").over(w), F.col("observed_at")) > minutes * 60e6
-    placed = facts.withColumn("__place", place).withColumn("__new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("__island", F.sum("__new").over(w))
-    limit = pd.Timedelta(minutes=minutes)
-
-    def passed(rows: pd.DataFrame) -> pd.DataFrame:
-        originals, out = [], []
-        for r in rows.sort_values(["observed_at", "fact_id"]).itertuples():
-            known = not pd.isna(r.class_id)
-            hit = next((o for o in originals if o.raw_message_id != r.raw_message_id and r.observed_at - o.observed_at <= limit and (not known or pd.isna(o.class_id) or o.class_id == r.class_id)), None)
+    width, limit = max(8 * minutes, 60), pd.Timedelta(minutes=minutes)
+    key = F.to_json(F.struct("event_type", "category", place.alias("place")))
+    slim = facts.select(key.alias("key"), slot(F.col("observed_at"), width).alias("slot"), "fact_id", F.col("raw_message_id").cast("long").alias("message"), F.col("class_id").cast("long").alias("class"), "observed_at")
+
+    def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        columns, order = ["key", "fact_id", "message", "class", "observed_at"], ["observed_at", "fact_id"]
+        of_key, out = defaultdict(deque), []
+        for fact in given.sort_values(order)[columns].itertuples(index=False, name=None):
+            of_key[fact[0]].append(fact)
+        for fact in rows.sort_values(order)[columns].itertuples(index=False, name=None):
+            key, _, message, kind, at = fact
+            originals = of_key[key]
+            while originals and at - originals[0][4] > limit:
+                originals.popleft()
+            hit = next((o[1] for o in originals if o[2] != message and (pd.isna(kind) or pd.isna(o[3]) or o[3] == kind)), None)
             if hit is None:
-                originals.append(r)
-            out.append((r.fact_id, None if hit is None else hit.fact_id))
-        return pd.DataFrame(out, columns=["fact_id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
-
-    schema = StructType([StructField("fact_id", LongType()), StructField("duplicate_of", LongType())])
-    slim = placed.select("event_type", "category", "__place", "__island", "fact_id", "raw_message_id", "class_id", "observed_at")
-    crowded = slim.groupBy("event_type", "category", "__place", "__island").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    keys = ["event_type", "category", "__place", "__island"]
-    same = slim.alias("s").join(crowded.alias("c"), [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys], "left_semi")
-    marks = same.groupBy(*keys).applyInPandas(passed, schema)
-    return facts.join(marks, "fact_id", "left")
+                originals.append(fact)
+            out.append((*fact, hit))
+        return pd.DataFrame(out, columns=[*columns, "duplicate_of"]).astype({"message": "Int64", "class": "Int64", "duplicate_of": "Int64"})
+
+    def carry(out: DataFrame) -> DataFrame:
+        end = (F.col("slot") + 1) * int(width * 60e6)
+        late = F.unix_micros(F.col("observed_at").cast("timestamp")) >= end - int(minutes * 60e6)
+        return out.filter(F.col("duplicate_of").isNull() & late).drop("duplicate_of")
+
+    marks = passed(slim, step, "key string, fact_id long, message long, class long, observed_at timestamp_ntz, duplicate_of long", carry)
+    return facts.join(marks.filter("duplicate_of is not null").select("fact_id", "duplicate_of"), "fact_id", "left")
 
 
 def outcomes(attempts: DataFrame, most: int = 3, most_transient: int = 10) -> DataFrame:

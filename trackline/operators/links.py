@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackline.functions import geo as G
-from trackline.operators.components import connected
+from trackline.operators.slices import passed, slot
 
 
 @dataclass(frozen=True)
@@ -83,29 +83,38 @@ def select_top(weights: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> DataFrame:
     """Links of every fact to its likely predecessors, ``from_id, to_id, probability, gap_km, dt, theta, need_min``.
 
-    What a predecessor has given to earlier successors lowers what is left for later ones. That order matters only
-    within a connected component of possible pairs, so each component is passed alone, in order of time.
+    What a predecessor has given to earlier successors lowers what is left for later ones, so the successors of a category
+    are passed in order, in slices as long as the window (``slices.passed``); a slice hands over what it took from whom.
     """
-    weights = weighted(candidate_pairs(facts, window_min), rule)
-    comps = connected(weights.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
-    grouped = weights.join(comps, F.col("to_id") == F.col("node"))
-
-    def passed(rows: pd.DataFrame) -> pd.DataFrame:
-        left: dict[int, float] = {}
-        out = []
-        for (_, to), group in rows.groupby(["observed_at", "to_id"], sort=True):
-            rest = np.array([left.get(i, 1.0) for i in group["from_id"]])
-            group = group.assign(weight=group["weight"].to_numpy() * rest)[rest > rule.exhausted]
-            group = group[(group["weight"] >= rule.least) & (group["weight"] >= rule.of_best * group["weight"].max())]
-            group = group.sort_values(["weight", "from_id"], ascending=[False, True]).head(rule.most)
-            scale = max(1.0, group["weight"].sum())
-            for r in group.itertuples():
-                p = float(np.floor(r.weight / scale * 1000 + 0.5) / 1000)
-                left[r.from_id] = max(0.0, left.get(r.from_id, 1.0) - p)
-                out.append((r.from_id, to, p, r.gap_km, r.dt, r.theta, r.need_min))
-        return pd.DataFrame(out, columns=["from_id", "to_id", "probability", "gap_km", "dt", "theta", "need_min"])
-
-    return grouped.groupBy("comp").applyInPandas(passed, "from_id long, to_id long, probability double, gap_km double, dt double, theta double, need_min double")
+    columns = ["from_id", "to_id", "probability", "gap_km", "dt", "theta", "need_min"]
+    pairs = weighted(candidate_pairs(facts, window_min), rule).filter(F.col("weight") >= rule.least)  # weights only fall
+    weights = pairs.join(facts.select(F.col("fact_id").alias("to_id"), F.col("category").alias("key")), "to_id")
+
+    def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        left = {r.from_id: 1.0 - r.taken for r in given.itertuples()}
+        rows = rows.sort_values(["observed_at", "to_id", "from_id"])
+        sources, targets, weights = (rows[c].to_numpy() for c in ("from_id", "to_id", "weight"))
+        starts = np.r_[np.flatnonzero(np.r_[True, targets[1:] != targets[:-1]]), len(targets)]
+        kept, shares = [], []
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            rest = np.array([left.get(i, 1.0) for i in sources[a:b].tolist()])
+            rest[rest <= rule.exhausted] = 0
+            weight = weights[a:b] * rest
+            good = np.flatnonzero((weight >= rule.least) & (weight >= rule.of_best * weight.max()))
+            good = good[np.argsort(-weight[good], kind="stable")][: rule.most]
+            scale = max(1.0, weight[good].sum())
+            for i in good.tolist():
+                p = float(np.floor(weight[i] / scale * 1000 + 0.5) / 1000)
+                left[sources[a + i]] = round(max(0.0, rest[i] - p), 3)
+                kept.append(a + i)
+                shares.append(p)
+        return rows.iloc[kept].assign(probability=np.array(shares, float))[columns]
+
+    def carry(out: DataFrame) -> DataFrame:
+        return out.groupBy("part", "slot", "from_id").agg(F.least(F.lit(1.0), F.round(F.sum("probability"), 3)).alias("taken"))
+
+    rows = weights.withColumn("slot", slot(F.col("observed_at"), window_min))
+    return passed(rows, step, "from_id long, to_id long, probability double, gap_km double, dt double, theta double, need_min double", carry).select(*columns)
 
 
 def with_duplicates(links: DataFrame, repeats: DataFrame) -> DataFrame:
