@@ -56,7 +56,7 @@ def sector(lon: Column, lat: Column, bearing: Column, half_angle: Column, km: Co
 
 def forecast_point(lon: Column, lat: Column, bearing: Column, speed_kmh: Column, minutes: float = 6, least_km: float = 8, default_km: float = 20) -> Column:
     """Where a track is heading: some minutes ahead, at least ``least_km``, a fixed distance without a speed."""
-    return offset(lon, lat, bearing, F.coalesce(F.greatest(speed_kmh * (minutes / 60), F.lit(float(least_km))), F.lit(float(default_km))))
+    return offset(lon, lat, bearing, F.when(speed_kmh.isNotNull(), F.greatest(speed_kmh * (minutes / 60), F.lit(float(least_km)))).otherwise(F.lit(float(default_km))))
 
 
 def _rings(values: pa.Array) -> list[np.ndarray]:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackline.functions import geo as G
 from trackline.functions import text as T
+from trackline.operators import estimate as E
 from trackline.operators import fixes as X
 from trackline.plans import graphs
 from trackline.sources import bindings as B
@@ -96,6 +98,28 @@ def hosts_as_channels(spark, d):
     return u.groupBy("channel").agg(F.count("*").alias("n"))
 
 
+def cleaned_messages(spark, d):
+    m = B.messages(spark, d)
+    return m.select("raw_message_id", F.md5(T.clean(F.col("text"))).alias("digest"))
+
+
+def words_shared_with_previous(spark, d):
+    """Each message against the one before it, by words of four letters and more."""
+    m = B.messages(spark, d).select("raw_message_id", F.col("text").alias("a"))
+    r = m.join(m.select((F.col("raw_message_id") + 1).alias("raw_message_id"), F.col("a").alias("b")), "raw_message_id").withColumn("w", T.shared_words(F.col("a"), F.col("b")))
+    return r.select("raw_message_id", F.md5(F.array_join("w.words", " ")).alias("digest"), F.round("w.share", 6).alias("share"))
+
+
+def faded_facts(spark, d):
+    """Facts of the day before an instant: how faded they are then, and where their course leads."""
+    now = F.expr(f"timestamp_ntz'{NOW}'")
+    f = B.facts(spark, d).filter((F.col("observed_at") > F.expr(f"timestamp_ntz'{NOW}' - interval 1 day")) & (F.col("observed_at") <= now)).join(B.places(spark, d).select("place_id", "lon", "lat"), "place_id")
+    age = F.timestamp_diff("MICROSECOND", F.col("observed_at"), now) / 60e6
+    ahead = G.forecast_point(F.col("lon"), F.col("lat"), F.col("k") * 3.6, F.when(F.col("k") % 3 > 0, F.col("k") * 4.0))
+    r = f.withColumn("ahead", ahead)
+    return r.select("fact_id", F.round(E.fade_opacity(age, F.lit(360.0)), 6).alias("opacity"), F.round("ahead.lon", 6).alias("lon"), F.round("ahead.lat", 6).alias("lat"))
+
+
 _F, _P = B.FACTS_SQL, B.PLACES_SQL
 _KM = "2 * 6371.0088 * asin(least(1.0, sqrt(power(sin(radians({b}lat - {a}lat) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * power(sin(radians({b}lon - {a}lon) / 2), 2))))"
 _PLACED = """placed AS (SELECT fact_id, f.fact_id % 5 AS m, k, CASE WHEN m = 0 THEN p.parent_id END AS region_id, CASE WHEN m = 0 THEN r.lon END AS region_lon, CASE WHEN m = 0 THEN r.lat END AS region_lat,
@@ -126,6 +150,16 @@ SQL = {
     "likeness_to_previous": f"""WITH {_CANON}, s AS (SELECT doc_id, CASE WHEN c = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(c) - 3, 1) + 1), lambda i: substr(c, i, 4))) END AS s FROM canon),
       p AS (SELECT a.doc_id, len(a.s) AS n, len(b.s) AS m, len(list_intersect(a.s, b.s)) AS shared FROM s a JOIN s b ON b.doc_id + 1 = a.doc_id)
       SELECT doc_id AS raw_message_id, n AS shingles, CASE WHEN n + m > shared THEN round(shared / (n + m - shared), 6) ELSE 0.0 END AS jaccard, CASE WHEN least(n, m) > 0 THEN round(shared / least(n, m), 6) ELSE 0.0 END AS containment FROM p""",
+    "cleaned_messages": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '(https?://|www\.|t\.me/)\S+', ' ', 'g') AS t FROM documents)
+      SELECT doc_id AS raw_message_id, md5(regexp_replace(translate(lower(t), 'ё«»“”„’ʼ`—–−', 'е' || repeat(chr(34), 5) || repeat(chr(39), 3) || repeat('-', 3)), '[^\p{L}\p{N}\n.,!?;:''"/+%°()-]+', ' ', 'g')) AS digest FROM a""",
+    "words_shared_with_previous": r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-''/.][\p{L}\p{N}]+)*'), lambda x: length(x) >= 4)) AS w FROM documents),
+      p AS (SELECT a.doc_id, list_sort(list_intersect(a.w, b.w)) AS s, least(len(a.w), len(b.w)) AS n FROM w a JOIN w b ON b.doc_id + 1 = a.doc_id)
+      SELECT doc_id AS raw_message_id, md5(array_to_string(s, ' ')) AS digest, CASE WHEN n > 0 THEN round(len(s) / n, 6) ELSE 0.0 END AS share FROM p""",
+    "faded_facts": f"""WITH {_F}, {_P}, f AS (SELECT fact_id, k, lon, lat, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(observed_at)) / 6e7 AS age, radians(k * 3.6::DOUBLE) AS t, (CASE WHEN k % 3 > 0 THEN greatest(k * 4.0::DOUBLE * 0.1, 8) ELSE 20 END) / 6371.0088 AS s
+        FROM facts JOIN places USING (place_id) WHERE observed_at > TIMESTAMP '{NOW}' - INTERVAL 1 DAY AND observed_at <= TIMESTAMP '{NOW}'),
+      y AS (SELECT *, asin(sin(radians(lat)) * cos(s) + cos(radians(lat)) * sin(s) * cos(t)) AS lat2 FROM f)
+      SELECT fact_id, round(CASE WHEN age <= 0 THEN 1.0::DOUBLE WHEN age >= 720 THEN 0 WHEN age <= 360 THEN 1 - 0.8::DOUBLE * age / 360 ELSE 0.2::DOUBLE * (1 - (age - 360) / 360) END, 6) AS opacity,
+        round(degrees(radians(lon) + atan2(sin(t) * sin(s) * cos(radians(lat)), cos(s) - sin(radians(lat)) * sin(lat2))), 6) AS lon, round(degrees(lat2), 6) AS lat FROM y""",
     "name_keys": f"""WITH {_P}, n AS (SELECT name FROM places UNION SELECT s_name FROM supplier), f AS (SELECT name, trim(regexp_replace(translate(lower(name), '—–−', '---'), '\\s+', ' ', 'g')) AS folded FROM n)
       SELECT name, folded, folded AS admin, folded AS variants FROM f""",
     "hosts_as_channels": r"""SELECT lower(regexp_extract(trim(regexp_replace(url, '^https?://[^/?#]*/', 'https://t.me/')), '^(?:https?://)?(?:t\.me/|telegram\.me/)?(?:s/)?@?([A-Za-z0-9_]+)', 1)) AS channel, count(*) AS n FROM pages GROUP BY 1""",
