@@ -17,8 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        configured = tempfile.mkdtemp(prefix="trackline-")
-        context.setCheckpointDir(configured)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="trackline-"))
+        configured = context.getCheckpointDir()
     return configured.rstrip("/")
 
 
