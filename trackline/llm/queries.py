@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trackline.llm import decontaminate, fill_middle, language_id, line_dedup, lm_score, near_dedup, piece_sampling, secret_scan, token_counts, topk_search, toxicity, url_filter
+from trackline.llm import decontaminate, fill_middle, language_id, line_dedup, lm_score, near_dedup, piece_sampling, secret_scan, spelling, token_counts, topk_search, toxicity, url_filter
 from trackline.llm.common import table
 
 PIECES = "piece_bpe_32k.model"
@@ -53,6 +53,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,6 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_decontaminate, op4_url_filter, op5_language_id, op6_token_counts, op7_toxicity, op8_secret_scan, op9_topk_search, op10_lm_score, op12_line_dedup, op13_fill_in_middle)
+    for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_decontaminate, op4_url_filter, op5_language_id, op6_token_counts, op7_toxicity, op8_secret_scan, op9_topk_search, op10_lm_score, op11_spelling_variants, op12_line_dedup, op13_fill_in_middle)
 }
-ORACLE_SQL = {"op9_topk_search": topk_search.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_fill_in_middle": fill_middle.ORACLE}
+ORACLE_SQL = {"op9_topk_search": topk_search.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_fill_in_middle": fill_middle.ORACLE}
