@@ -38,3 +38,29 @@ def test_links_over_many_slices(spark):
     for (a, _), p in fine.items():
         given[a] = given.get(a, 0) + p
     assert max(given.values()) <= 1.001
+
+
+FACT = "fact_id long, raw_message_id long, event_type int, category string, class_id int, place_id int, dest_id int, observed_at timestamp_ntz"
+
+
+def test_equal_facts_have_one_mark(spark):
+    one, other = ((i, i, 1, "a", None, 7, None, T0 + timedelta(hours=3, minutes=m)) for i, m in ((1, 55), (2, 65)))
+    for rows in ([one, other], [one, one, other], [one, other, other], [one, one, other, other, other]):
+        got = [(r.fact_id, r.duplicate_of) for r in dedup.mark_repeats(spark.createDataFrame(rows, FACT), 30).collect()]
+        assert sorted(got, key=str) == sorted(((i, 1 if i == 2 else None) for i, *_ in rows), key=str)
+
+
+def test_rounds_do_not_grow_with_slices(spark, monkeypatch):
+    """A fact every 25 minutes and a window of 30: every other one is a repeat, for ever."""
+    from trackline.operators import slices
+
+    count, written = [0], slices.written
+    monkeypatch.setattr(slices, "written", lambda df, name: (count.__setitem__(0, count[0] + (name in ("slice-fresh", "slices-met"))), written(df, name))[1])
+    taken = []
+    for n in (57, 345):
+        rows = [(i, i, 1, "a", None, 7, None, T0 + timedelta(minutes=25 * i)) for i in range(n)]
+        count[0] = 0
+        got = {r.fact_id: r.duplicate_of for r in dedup.mark_repeats(spark.createDataFrame(rows, FACT), 30).collect()}
+        assert got == {i: i - 1 if i % 2 else None for i in range(n)}
+        taken.append(count[0])
+    assert taken[1] <= taken[0] + 4 and taken[1] <= 14

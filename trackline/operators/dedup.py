@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,24 +53,22 @@ def mark_repeats(facts: DataFrame, minutes: float = 3) -> DataFrame:
     ``facts``: fact_id, raw_message_id, event_type, category, class_id, place_id, dest_id, observed_at. The same: event,
     category, place (or destination where neither has a place), classes equal or one unknown, at most ``minutes`` apart.
     A duplicate cannot be an original, so the facts of a place are passed in order, slice by slice (``slices.passed``); what
-    a slice hands over are its originals within ``minutes`` of its end.
+    a slice hands over are its originals within ``minutes`` of its end. A fact that is given twice is one fact with two rows:
+    they have one mark, and as many rows come out as go in.
     """
     place = F.when(F.col("place_id").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("place_id").cast("long").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("dest_id").cast("long").alias("id")))
     width, limit = max(8 * minutes, 60), pd.Timedelta(minutes=minutes)
     key = F.to_json(F.struct("event_type", "category", place.alias("place")))
-    slim = facts.select(key.alias("key"), slot(F.col("observed_at"), width).alias("slot"), "fact_id", F.col("raw_message_id").cast("long").alias("message"), F.col("class_id").cast("long").alias("class"), "observed_at")
+    slim = facts.select(key.alias("key"), slot(F.col("observed_at"), width).alias("slot"), "fact_id", F.col("raw_message_id").cast("long").alias("message"), F.col("class_id").cast("long").alias("class"), "observed_at").distinct()
 
     def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        columns, order = ["key", "fact_id", "message", "class", "observed_at"], ["observed_at", "fact_id"]
-        of_key, out = defaultdict(deque), []
-        for fact in given.sort_values(order)[columns].itertuples(index=False, name=None):
-            of_key[fact[0]].append(fact)
+        columns, order = ["fact_id", "message", "class", "observed_at"], ["observed_at", "fact_id"]
+        originals, out = deque(given.sort_values(order)[columns].itertuples(index=False, name=None)), []
         for fact in rows.sort_values(order)[columns].itertuples(index=False, name=None):
-            key, _, message, kind, at = fact
-            originals = of_key[key]
-            while originals and at - originals[0][4] > limit:
+            _, message, kind, at = fact
+            while originals and at - originals[0][3] > limit:
                 originals.popleft()
-            hit = next((o[1] for o in originals if o[2] != message and (pd.isna(kind) or pd.isna(o[3]) or o[3] == kind)), None)
+            hit = next((o[0] for o in originals if o[1] != message and (pd.isna(kind) or pd.isna(o[2]) or o[2] == kind)), None)
             if hit is None:
                 originals.append(fact)
             out.append((*fact, hit))
@@ -81,8 +79,8 @@ def mark_repeats(facts: DataFrame, minutes: float = 3) -> DataFrame:
         late = F.unix_micros(F.col("observed_at").cast("timestamp")) >= end - int(minutes * 60e6)
         return out.filter(F.col("duplicate_of").isNull() & late).drop("duplicate_of")
 
-    marks = passed(slim, step, "key string, fact_id long, message long, class long, observed_at timestamp_ntz, duplicate_of long", carry)
-    return facts.join(marks.filter("duplicate_of is not null").select("fact_id", "duplicate_of"), "fact_id", "left")
+    marks = passed(slim, step, "fact_id long, message long, class long, observed_at timestamp_ntz, duplicate_of long", carry)
+    return facts.join(marks.filter("duplicate_of is not null").select("fact_id", "duplicate_of").distinct(), "fact_id", "left")
 
 
 def outcomes(attempts: DataFrame, most: int = 3, most_transient: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackline.functions import geo as G
-from trackline.operators.slices import passed, slot
+from trackline.operators.slices import RUN, passed, slot
 
 
 @dataclass(frozen=True)
@@ -111,7 +111,7 @@ def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> Data
         return rows.iloc[kept].assign(probability=np.array(shares, float))[columns]
 
     def carry(out: DataFrame) -> DataFrame:
-        return out.groupBy("part", "slot", "from_id").agg(F.least(F.lit(1.0), F.round(F.sum("probability"), 3)).alias("taken"))
+        return out.groupBy(*RUN, "from_id").agg(F.least(F.lit(1.0), F.round(F.sum("probability"), 3)).alias("taken"))
 
     rows = weights.withColumn("slot", slot(F.col("observed_at"), window_min))
     return passed(rows, step, "from_id long, to_id long, probability double, gap_km double, dt double, theta double, need_min double", carry).select(*columns)

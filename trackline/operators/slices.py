@@ -1,10 +1,13 @@
 """Order-dependent passes over keys of any size, in slices of time that run side by side.
 
-A group holds one slice of some of the keys, about ``GROUP_ROWS`` rows where no single slice of a key has more. What a
-slice decides depends on its rows and on what the slice before it hands over. All slices run at once with nothing handed
-over; then only those run again whose predecessor hands over something else than they were given, until none is left.
-After n rounds the first n slices of every key are final, so the outcome is that of one pass in order; where decisions do
-not reach far, few rounds are needed.
+What a slice decides depends on its rows and on what the slice before it hands over, its state. All slices run at once with
+an empty state; then slices run for each state that they may be handed and have not run with yet, until there is none. By
+then every slice is known as a function from the states it may meet to the state it hands on. These functions are composed
+by doubling, so the states that really occur are found in as many steps as the logarithm of the longest way. States that come
+together again, whatever was before, keep the first loop short: its length is that of the memory of the pass, not of the key.
+A pass whose states never meet again costs one round a slice, as it must run in order.
+
+A task holds one slice of some keys, about ``GROUP_ROWS`` rows where no single slice of a key has more.
 """
 
 from __future__ import annotations
@@ -13,12 +16,15 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from trackline.operators.components import shared_dir, written
 
-SLICE = ["part", "slot"]
+SLICE = ["part", "slot", "key"]
+RUN = [*SLICE, "state"]
+TYPED = "part long, slot long, key string, state long"
 GROUP_ROWS = 5000
 
 
@@ -28,44 +34,75 @@ def slot(ts: Column, minutes: float) -> Column:
 
 
 def passed(rows: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, carry: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The output of ``step(rows, carried)`` over the slices of each key in order, with columns part, slot and ``schema``.
+    """The output of ``step(rows, state)`` over the slices of each key in order, with columns part, slot, key and ``schema``.
 
-    ``rows``: key, slot, ... ; a part is a set of keys, so ``step`` may get several at once. ``carry`` takes the output of slices and gives what each hands to the next one, with its
-    own part and slot. Outputs and hand-overs of each round are written in the shared folder.
+    ``rows``: key, slot, ... ; ``step`` gets one slice of one key. ``carry`` takes the output of slices, with the columns
+    ``RUN``, and gives the rows that each hands to the next slice, with the same four columns. Equal rows count each; a state
+    is named by the number and the sum of its rows' hashes. Outputs of each round are written in the shared folder.
     """
     spark = rows.sparkSession
     base = f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}"
-    typed, due_schema = f"part long, slot long, {schema}", "part long, slot long, digest long"
+    typed = f"{TYPED}, {schema}"
+    rows = rows.withColumns({"key": F.col("key").cast("string"), "slot": F.col("slot").cast("long")})
     rows = written(rows, "slice-rows")
     size = rows.agg(F.count("*").alias("rows"), F.count_distinct("slot").alias("slots")).first()
     parts = max(1, size.rows // (max(1, size.slots) * GROUP_ROWS))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    slices = written(rows.select(*SLICE).distinct(), "slice-names")
+    state_columns = [c for c in carry(spark.createDataFrame([], typed)).columns if c not in RUN]
 
-    def run(key: tuple, mine: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        out = step(mine, given)
-        out.insert(0, "slot", key[1])
-        out.insert(0, "part", key[0])
-        return out
+    def run(_: tuple, mine: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        of_key, out = dict(list(mine.drop(columns=["part", "slot"]).groupby("key", sort=False))), []
+        for (key, state), g in given.groupby(["key", "state"], sort=False):
+            part, at = int(g["part"].iloc[0]), int(g["slot"].iloc[0])
+            made = step(of_key[key].drop(columns="key"), g.loc[g["__given"].notna(), state_columns])
+            for place, (name, value) in enumerate((("part", part), ("slot", at), ("key", key), ("state", state))):
+                made.insert(place, name, value)
+            out.append(made)
+        return pd.concat(out)
 
-    due, given, n = rows.select(*SLICE).distinct().withColumn("digest", F.lit(0).cast("long")), carry(spark.createDataFrame([], typed)), 0
+    due, given, n = slices.withColumn("state", F.lit(0).cast("long")), None, 0
     while True:
-        due.write.parquet(f"{base}/due/n={n}")
-        due = spark.read.schema(due_schema).parquet(f"{base}/due/n={n}")
-        if n and due.isEmpty():
+        due = written(due, "slice-runs")
+        if due.isEmpty():
             break
-        mine = rows.join(due.select(*SLICE), SLICE, "left_semi") if n else rows
-        mine.groupBy(*SLICE).cogroup(given.groupBy(*SLICE)).applyInPandas(run, typed).write.parquet(f"{base}/out/n={n}")
-        handed = carry(spark.read.schema(typed).parquet(f"{base}/out/n={n}")).withColumn("slot", F.col("slot") + 1)
-        given = written(handed, "handed")
-        digests = given.groupBy(*SLICE).agg(F.bit_xor(F.xxhash64(*[c for c in given.columns if c not in SLICE])).alias("now"))
-        last = _rounds(spark, f"{base}/due", due_schema).groupBy(*SLICE).agg(F.max_by("digest", "n").alias("was"))
-        after = due.select("part", (F.col("slot") + 1).alias("slot")).join(last, SLICE).join(digests, SLICE, "left").withColumn("digest", F.coalesce("now", F.lit(0)))
-        due = after.filter("digest <> was").select(*SLICE, "digest")
-        given = given.join(due.select(*SLICE), SLICE, "left_semi")
-        n += 1
-    final = _rounds(spark, f"{base}/due", due_schema).groupBy(*SLICE).agg(F.max("n").alias("n"))
-    return _rounds(spark, f"{base}/out", typed).join(final, [*SLICE, "n"], "left_semi").drop("n")
-
-
-def _rounds(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, n int").parquet(path)
+        due.write.parquet(f"{base}/runs/n={n}")
+        if given is None:
+            given = due.withColumn("__given", F.lit(None).cast("boolean"))
+            for field in carry(spark.createDataFrame([], typed)).schema:
+                if field.name in state_columns:
+                    given = given.withColumn(field.name, F.lit(None).cast(field.dataType))
+        mine = rows.join(due.select(*SLICE).distinct(), SLICE, "left_semi")
+        mine.groupBy("part", "slot").cogroup(given.groupBy("part", "slot")).applyInPandas(run, typed).write.parquet(f"{base}/out/n={n}")
+        handed = carry(spark.read.schema(typed).parquet(f"{base}/out/n={n}"))
+        hashes = F.sum(F.xxhash64(*state_columns).cast("decimal(38,0)"))
+        named = handed.groupBy(*RUN).agg(F.xxhash64(F.count("*"), hashes).alias("next"))
+        ways = due.join(named, RUN, "left").select(*RUN, F.coalesce("next", F.lit(0)).alias("next"))
+        ways.write.parquet(f"{base}/ways/n={n}")
+        ways = spark.read.schema(f"{TYPED}, next long").parquet(f"{base}/ways/n={n}")
+        before = spark.read.schema(TYPED).parquet(f"{base}/runs")
+        fresh = ways.groupBy("part", (F.col("slot") + 1).alias("slot"), "key", F.col("next").alias("state")).agg(F.min(F.col("state")).alias("from"))
+        fresh = written(fresh.join(slices, SLICE, "left_semi").join(before, RUN, "left_anti"), "slice-fresh")
+        states = handed.select("part", (F.col("slot") + 1).alias("slot"), "key", F.col("state").alias("from"), *state_columns, F.lit(True).alias("__given"))
+        due, given, n = fresh.select(*RUN), fresh.join(states, [*SLICE, "from"]).drop("from"), n + 1
+    if n == 0:
+        return spark.createDataFrame([], StructType([f for f in StructType.fromDDL(typed) if f.name != "state"]))
+    met = _met(spark.read.schema(f"{TYPED}, next long").parquet(f"{base}/ways"), slices)
+    return spark.read.schema(typed).parquet(f"{base}/out").join(met, RUN, "left_semi").drop("state")
+
+
+def _met(ways: DataFrame, slices: DataFrame) -> DataFrame:
+    """The one state of each slice that it really meets.
+
+    A slice that has run with one state only meets that. From there on the ways lead to the others; each round follows ways
+    twice as long as the round before.
+    """
+    wanted = slices.count()
+    met = written(ways.groupBy(*SLICE).agg(F.count("*").alias("states"), F.min("state").alias("state")).filter("states = 1").select(*RUN), "slices-met")
+    jumps = ways.select(*RUN, (F.col("slot") + 1).alias("to_slot"), F.col("next").alias("to_state"))
+    while met.count() < wanted:
+        reached = met.join(jumps, RUN).select("part", F.col("to_slot").alias("slot"), "key", F.col("to_state").alias("state")).join(slices, SLICE, "left_semi")
+        met = written(met.unionByName(reached).distinct(), "slices-met")
+        ahead = jumps.select("part", "key", F.col("slot").alias("to_slot"), F.col("state").alias("to_state"), F.col("to_slot").alias("far_slot"), F.col("to_state").alias("far_state"))
+        jumps = written(jumps.join(ahead, ["part", "key", "to_slot", "to_state"]).select(*RUN, F.col("far_slot").alias("to_slot"), F.col("far_state").alias("to_state")), "slice-jumps")
+    return met
