@@ -88,10 +88,12 @@ def insert_only(stored: DataFrame, file_rows: DataFrame, key: str) -> DataFrame:
     return stored.unionByName(file_rows.join(stored.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """Rows by key, the fresh ones winning."""
-    old = stored.join(fresh.select(key), key, "left_anti")
-    return old.unionByName(fresh.dropDuplicates([key]), allowMissingColumns=True)
+def upsert(stored: DataFrame, fresh: DataFrame, key: str, newest: str) -> DataFrame:
+    """Rows by key, the fresh ones winning; of several fresh rows of a key the one with the greatest ``newest``, a column of
+    ``fresh`` alone. Ties go to the row that sorts last, so the outcome does not depend on partitions."""
+    columns = [c for c in fresh.columns if c not in (key, newest)]
+    last = fresh.groupBy(key).agg(F.max(F.struct(newest, *columns)).alias("__r")).select(key, *[F.col("__r")[c].alias(c) for c in columns])
+    return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def prune_aliases(stored: DataFrame, files: DataFrame) -> DataFrame:
@@ -129,12 +131,21 @@ def alternate_names(names: DataFrame) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """Features of GeoJSON collections: properties as a map, outer ring as points."""
+    """Features of GeoJSON collections: properties as a map, type, and rings: outer ones and holes of all parts, in order."""
     schema = "features ARRAY<STRUCT<properties: MAP<STRING, STRING>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
-    flat = F.regexp_extract_all(F.regexp_extract(F.col("f.geometry.coordinates"), r"\[\[+([^\]]*\](?:,\[[^\]]*\])*)\]\]", 1), F.lit(r"(-?[0-9.eE+-]+),\s*(-?[0-9.eE+-]+)"), F.lit(0))
-    ring = F.transform(flat, lambda p: F.struct(F.split(p, ",")[0].cast("double").alias("lon"), F.split(p, ",")[1].cast("double").alias("lat")))
-    return rows.select(F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("type"), ring.alias("ring"))
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.properties", "f.geometry.*")
+    one, many = F.from_json("coordinates", "array<array<array<double>>>"), F.flatten(F.from_json("coordinates", "array<array<array<array<double>>>>"))
+    rings = F.when(F.col("type") == "MultiPolygon", many).when(F.col("type") == "Polygon", one)
+    return rows.select("properties", "type", F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))).alias("rings"))
+
+
+def chosen_features(found: DataFrame, name: str, codes: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Features with rings whose property ``name`` is in ``codes`` (column code), if given, and begins with none of ``skip``;
+    the property as column code."""
+    rows = found.withColumn("code", F.col("properties")[name]).filter(F.col("code").isNotNull() & F.col("rings").isNotNull())
+    for prefix in skip:
+        rows = rows.filter(~F.col("code").startswith(prefix))
+    return rows.join(codes.select("code").distinct(), "code", "left_semi") if codes is not None else rows
 
 
 def log_entries(lines: DataFrame, level: str | None = None, contains: str | None = None) -> DataFrame:
