@@ -1,31 +1,11 @@
-"""Facts into tracks: association scores and the ordered pass that attaches each fact to its best track."""
+"""Association scores as columns. The ordered pass that attaches each fact to its best track is in ``tracks``."""
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackline.functions import geo as G
-from trackline.operators.components import connected
-from trackline.operators.links import candidate_pairs
-
-
-@dataclass(frozen=True)
-class Rule:
-    """Fixed values of the score, and the limits of a track."""
-
-    attach: float = 0.6
-    slack_km: float = 30.0
-    impossible: float = 0.3
-    window_min: float = 30.0
-    reach_min: float = 120.0
-    speed_kmh: float = 200.0
-    split_min: float = 8.0
-    weights: tuple[float, float, float, float] = (0.30, 0.35, 0.15, 0.20)
+from trackline.operators.tracks import Rule
 
 
 def score(minutes: Column, distance: Column, gap: Column, direction: Column, similarity: Column, speed: Column, window: Column, split: Column, rule: Rule = Rule()) -> Column:
@@ -46,89 +26,6 @@ def class_similarity(model_a: Column, model_b: Column, family_a: Column, family_
     return F.when(model_a == model_b, 1.0).when(model_a.isNotNull() & model_b.isNotNull(), 0.2).when(family_a == family_b, 0.9).when(family_a.isNotNull() & family_b.isNotNull(), 0.3).otherwise(0.7)
 
 
-def _km(a, b) -> float:
-    x = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2
-    return 2 * G.RADIUS_KM * math.asin(min(1.0, math.sqrt(x)))
-
-
-def _none(v):
-    return None if v is None or pd.isna(v) else v
-
-
-def _fit(f, t: dict, rule: Rule) -> float:
-    minutes = abs((f.observed_at - t["seen"]).total_seconds()) / 60
-    distance = _km((f.lon, f.lat), t["at"])
-    gap = max(0.0, distance - f.accuracy_km - t["accuracy"])
-    reach = f.speed_kmh * minutes / 60 + rule.slack_km
-    space = (1 - 0.5 * gap / reach if reach > 0 else 1.0) if gap <= reach else 0.0
-    turn = None
-    if _none(f.direction_deg) is not None and t["direction"] is not None:
-        turn = abs((f.direction_deg - t["direction"] + 540) % 360 - 180)
-    pairs = [(_none(f.model_id), t["model"]), (_none(f.family_id), t["family"])]
-    if None not in pairs[0]:
-        similar = 1.0 if pairs[0][0] == pairs[0][1] else 0.2
-    elif None not in pairs[1]:
-        similar = 0.9 if pairs[1][0] == pairs[1][1] else 0.3
-    else:
-        similar = 0.7
-    a, b, c, d = rule.weights
-    total = a * min(1.0, max(0.0, 1 - minutes / f.window_min)) + b * space + c * (0.5 if turn is None else 1 - turn / 180) + d * similar
-    apart = f.source_id == t["source"] and minutes < rule.split_min and f.place_id != t["place"] and distance > 2 * f.speed_kmh * minutes / 60 + 20
-    return min(total, rule.impossible) if space == 0 or apart else total
-
-
-def _pass(rows: pd.DataFrame, rule: Rule) -> pd.DataFrame:
-    """The facts of one component in order: attach to the best track or open one; each change is a revision."""
-    tracks: list[dict] = []
-    out = []
-    for f in rows.sort_values(["observed_at", "fact_id"]).itertuples():
-        best, top = None, rule.attach
-        for t in tracks:
-            near = abs((f.observed_at - t["seen"]).total_seconds()) <= rule.reach_min * 60
-            if near and f.raw_message_id not in t["messages"] and (t["class"] is None or _none(f.class_id) in (None, t["class"])):
-                s = _fit(f, t, rule)
-                if s > top or (best is None and s >= top):
-                    best, top = t, s
-        if best is None:
-            best = {"id": int(f.fact_id), "seen": f.observed_at, "at": (f.lon, f.lat), "accuracy": f.accuracy_km, "direction": None, "model": None, "family": None, "class": None, "source": f.source_id, "place": f.place_id, "messages": set(), "sources": set(), "n": 0, "best": 0}
-            tracks.append(best)
-        for name, value in (("model", f.model_id), ("family", f.family_id), ("class", f.class_id)):
-            best[name] = best[name] if best[name] is not None else _none(value)
-        if f.observed_at >= best["seen"]:
-            best |= {"seen": f.observed_at, "at": (f.lon, f.lat), "accuracy": f.accuracy_km, "source": f.source_id, "place": f.place_id}
-            best["direction"] = _none(f.direction_deg) if _none(f.direction_deg) is not None else best["direction"]
-        best["messages"].add(f.raw_message_id)
-        best["sources"].add(f.source_id)
-        best["n"] += 1
-        best["best"] = max(best["best"], f.confidence)
-        sure = min(3, max(1, best["best"] + (len(best["sources"]) >= 2) + (best["n"] >= 3)))
-        out.append((best["id"], f.fact_id, f.observed_at, best["seen"], best["at"][0], best["at"][1], best["direction"], best["n"], sure))
-    return pd.DataFrame(out, columns=["track_id", "fact_id", "revision_at", "seen_at", "lon", "lat", "heading", "facts", "confidence"])
-
-
-REVISION = "track_id long, fact_id long, revision_at timestamp_ntz, seen_at timestamp_ntz, lon double, lat double, heading double, facts int, confidence int"
-
-
-def tracks(facts: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """One revision per fact: the track it joined and the track's state after it. A track is named by its first fact.
-
-    ``facts``: fact_id, raw_message_id, source_id, category, class_id, family_id, model_id, observed_at, lon, lat,
-    accuracy_km, place_id, direction_deg, confidence, speed_kmh, window_min; duplicates already removed. Only facts within
-    reach of each other can share a track, so the pass runs per connected component of reachable pairs; facts that reach
-    no other open tracks without any pass.
-    """
-    wide = facts.withColumns({"win_min": F.lit(rule.reach_min)})
-    pairs = candidate_pairs(wide, rule.reach_min)
-    km = G.distance_km(F.col("c.lon"), F.col("c.lat"), F.col("n.lon"), F.col("n.lat")) - F.col("c.accuracy_km") - F.col("n.accuracy_km")
-    near = pairs.filter(km <= F.greatest("n.speed_kmh", "c.speed_kmh") * F.col("dt") / 60 + 2 * rule.slack_km)
-    comps = connected(near.select(F.col("c.fact_id").alias("a"), F.col("n.fact_id").alias("b")))
-    linked = facts.join(comps, F.col("fact_id") == F.col("node")).drop("node")
-    passed = linked.groupBy("comp").applyInPandas(lambda rows: _pass(rows, rule), REVISION)
-    lone = facts.join(comps.select(F.col("node").alias("fact_id")), "fact_id", "left_anti")
-    single = lone.select(F.col("fact_id").cast("long").alias("track_id"), F.col("fact_id").cast("long").alias("fact_id"), F.col("observed_at").alias("revision_at"), F.col("observed_at").alias("seen_at"), "lon", "lat", F.col("direction_deg").alias("heading"), F.lit(1).alias("facts"), F.greatest(F.lit(1), F.least(F.lit(3), F.col("confidence"))).cast("int").alias("confidence"))
-    return passed.unionByName(single)
-
-
 def closed_at(revisions: DataFrame, window_min: float) -> DataFrame:
     """Tracks with the event time at which silence closes them: twice the window after they were last seen."""
     last = revisions.groupBy("track_id").agg(F.max("seen_at").alias("seen_at"), F.max("facts").alias("facts"), F.max_by("confidence", "facts").alias("confidence"))
