@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackline.operators.components import connected
@@ -47,6 +47,12 @@ def idempotent(arrivals: DataFrame, stored: DataFrame | None = None) -> DataFram
     return arrivals.join(kept.unionByName(alone), "arrival", "left_semi")
 
 
+def place_key() -> Column:
+    """What facts must share to say the same: event, category, and the place, or the destination of those without one."""
+    place = F.when(F.col("place_id").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("place_id").cast("long").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("dest_id").cast("long").alias("id")))
+    return F.to_json(F.struct("event_type", "category", place.alias("place")))
+
+
 def mark_repeats(facts: DataFrame, minutes: float = 3) -> DataFrame:
     """``duplicate_of``: the earliest fact of another message, itself no duplicate, that says the same; else null.
 
@@ -56,10 +62,8 @@ def mark_repeats(facts: DataFrame, minutes: float = 3) -> DataFrame:
     a slice hands over are its originals within ``minutes`` of its end. A fact that is given twice is one fact with two rows:
     they have one mark, and as many rows come out as go in.
     """
-    place = F.when(F.col("place_id").isNotNull(), F.struct(F.lit(0).alias("kind"), F.col("place_id").cast("long").alias("id"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("dest_id").cast("long").alias("id")))
     width, limit = max(8 * minutes, 60), pd.Timedelta(minutes=minutes)
-    key = F.to_json(F.struct("event_type", "category", place.alias("place")))
-    slim = facts.select(key.alias("key"), slot(F.col("observed_at"), width).alias("slot"), "fact_id", F.col("raw_message_id").cast("long").alias("message"), F.col("class_id").cast("long").alias("class"), "observed_at").distinct()
+    slim = facts.select(place_key().alias("key"), slot(F.col("observed_at"), width).alias("slot"), "fact_id", F.col("raw_message_id").cast("long").alias("message"), F.col("class_id").cast("long").alias("class"), "observed_at").distinct()
 
     def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         columns, order = ["fact_id", "message", "class", "observed_at"], ["observed_at", "fact_id"]

@@ -12,12 +12,13 @@ from trackline.operators.components import connected
 def daily_stats(facts: DataFrame, repeats: DataFrame, zone: str = C.ZONE) -> DataFrame:
     """``day, source_id, facts, copies, copied_by, lead_s``: two totals joined in full, as either side may be absent.
 
+    A copy counts on its own day, being copied and the lead (not below zero) on the original's.
     ``repeats``: copy_source, original_source, copy_at, original_at of facts repeated by another source.
     """
     told = facts.groupBy(C.local_day(F.col("observed_at"), zone).alias("day"), "source_id").agg(F.count("*").alias("facts"))
-    lead = F.timestamp_diff("SECOND", F.col("original_at"), F.col("copy_at")).cast("double")
+    lead = F.greatest(F.lit(0.0), F.timestamp_diff("SECOND", F.col("original_at"), F.col("copy_at")).cast("double"))
     made = repeats.groupBy(C.local_day(F.col("copy_at"), zone).alias("day"), F.col("copy_source").alias("source_id")).agg(F.count("*").alias("copies"))
-    got = repeats.groupBy(C.local_day(F.col("copy_at"), zone).alias("day"), F.col("original_source").alias("source_id")).agg(F.count("*").alias("copied_by"), F.sum(lead).alias("lead_s"))
+    got = repeats.groupBy(C.local_day(F.col("original_at"), zone).alias("day"), F.col("original_source").alias("source_id")).agg(F.count("*").alias("copied_by"), F.sum(lead).alias("lead_s"))
     every = told.join(made, ["day", "source_id"], "full").join(got, ["day", "source_id"], "full")
     return every.fillna(0, ["facts", "copies", "copied_by"]).fillna(0.0, ["lead_s"])
 

@@ -120,7 +120,7 @@ rep AS (SELECT *, CAST(trunc((epoch_us(copy_at) - epoch_us(original_at)) / 1e6)
 _D = """days AS (SELECT coalesce(f.day, m.day, g.day) AS day, coalesce(f.source_id, m.source_id, g.source_id) AS source_id, coalesce(f.n, 0) AS facts, coalesce(m.n, 0) AS copies, coalesce(g.n, 0) AS copied_by,
     coalesce(g.s, 0) AS lead_s FROM (SELECT CAST(timezone('Europe/Kyiv', timezone('UTC', observed_at)) AS DATE) AS day, source_id, count(*) AS n FROM facts GROUP BY 1, 2) f
   FULL JOIN (SELECT day, copy_source AS source_id, count(*) AS n FROM rep GROUP BY 1, 2) m ON m.day = f.day AND m.source_id = f.source_id
-  FULL JOIN (SELECT day, original_source AS source_id, count(*) AS n, sum(lead_time) AS s FROM rep GROUP BY 1, 2) g ON g.day = coalesce(f.day, m.day) AND g.source_id = coalesce(f.source_id, m.source_id)),
+  FULL JOIN (SELECT CAST(timezone('Europe/Kyiv', timezone('UTC', original_at)) AS DATE) AS day, original_source AS source_id, count(*) AS n, sum(greatest(0, lead_time)) AS s FROM rep GROUP BY 1, 2) g ON g.day = coalesce(f.day, m.day) AND g.source_id = coalesce(f.source_id, m.source_id)),
 rated AS (SELECT *, CASE WHEN facts > 0 THEN round(0.7 * (1 - copies / facts) + 0.3 * least(1.0, copied_by / facts), 3) END AS rating FROM days)"""
 _E = """edges AS (SELECT * FROM (SELECT fact_id AS from_id, lead(fact_id, 1) OVER w AS to_id, 0.5::DOUBLE AS probability FROM facts WINDOW w AS (PARTITION BY place_id ORDER BY observed_at, fact_id)
   UNION ALL SELECT fact_id, lead(fact_id, 2) OVER w, 0.25 FROM facts WINDOW w AS (PARTITION BY place_id ORDER BY observed_at, fact_id)) WHERE to_id IS NOT NULL),
