@@ -70,3 +70,11 @@ def test_connected(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 50), (50, 70)]
     got = {r.node: r.comp for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 50: 50, 70: 50, 100: 50}
+
+
+def test_cap_keeps_the_nearest_and_says_what_it_left(spark):
+    prints = spark.createDataFrame([(i, T0 + timedelta(minutes=m), b) for i, m, b in [(1, 0, [1, 2, 3]), (2, 5, [1]), (3, 8, [1, 2]), (9, 10, [1, 2, 3])]], "raw_message_id int, published_at timestamp_ntz, bands array<int>")
+    pairs = spark.createDataFrame([(9, 1), (9, 2), (9, 3)], "copy int, original int")
+    kept = lambda *a: {(r.original, r.shared, r.left_out) for r in C.capped(prints, pairs, *a).collect()}
+    assert kept() == {(1, 3, 0), (2, 1, 0), (3, 2, 0)}
+    assert kept(2, 1) == {(3, 2, 2)} and kept(3, 2) == {(1, 3, 1), (3, 2, 1)}

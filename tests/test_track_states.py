@@ -172,6 +172,17 @@ def test_components_change_nothing(spark):
     assert paths and all(len(p) >= 2 and all(a != b for a, b in zip(p, p[1:])) for p in paths.values())
 
 
+def test_query_equals_one_pass(spark):
+    from trackline.plans import courses
+
+    d = "/root/testdata/sf0.001"
+    rows = [r.asDict() for r in courses.track_events(spark, d).collect()]
+    made = K.tracks(courses.track_events(spark, d)).collect()
+    assert keyed(made) == wanted(rows)
+    assert {r.status for r in made} == {"active", "closed", "cancelled"} and any(r.duplicate_of for r in courses.track_events(spark, d).collect())
+    assert courses.track_revisions(spark, d).count() == len(made) and courses.track_paths(spark, d).count() > 0
+
+
 def test_empty_tables(spark):
     assert K.tracks(frame(spark, [])).count() == 0
     assert K.tracks(frame(spark, [fact(1, None, None, 0), fact(2, None, None, 3, event="cancelled", region_id=4)])).count() == 0

@@ -61,3 +61,15 @@ def spine(spark: SparkSession, start: datetime, end: datetime, unit: str, zone:
 def stamp(ts: Column) -> Column:
     """Timestamps as text, for results that leave the engine."""
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+
+
+def rounded_down(ts: Column, minutes: int = 5) -> Column:
+    """The last full ``minutes`` at an instant: all viewers of a preset period within them ask for the same one."""
+    step = minutes * 60_000_000
+    return F.timestamp_micros(F.floor(F.unix_micros(ts.cast("timestamp")) / step) * step).cast("timestamp_ntz")
+
+
+def preset(now: Column, hours: int, minutes: int = 5) -> tuple[Column, Column]:
+    """Start and end of the period of ``hours`` up to now, rounded down."""
+    end = rounded_down(now, minutes)
+    return end - F.make_dt_interval(hours=F.lit(hours)), end

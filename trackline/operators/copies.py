@@ -53,6 +53,20 @@ def candidates(prints: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return pairs.filter((F.col("source") != F.col("s")) & ordered & near).select(F.col("raw_message_id").alias("copy"), "original").distinct()
 
 
+def capped(prints: DataFrame, pairs: DataFrame, scan: int = 200, most: int = 50) -> DataFrame:
+    """Of ``pairs`` the ``scan`` nearest in time of each copy, and of them the ``most`` with the most bands in common (ties: the
+    nearer), with ``left_out``, how many pairs of the copy the cap dropped. An option for feeds that need a bound; no report
+    uses it by itself."""
+    side = lambda name: prints.select(F.col("raw_message_id").alias(name), F.col("published_at").alias(f"{name}_at"), F.col("bands").alias(f"{name}_bands"))
+    both = pairs.join(side("copy"), "copy").join(side("original"), "original")
+    apart = F.abs(F.timestamp_diff("MICROSECOND", F.col("original_at"), F.col("copy_at")))
+    both = both.select("copy", "original", apart.alias("apart"), F.size(F.array_intersect("copy_bands", "original_bands")).alias("shared"))
+    near, all_ = Window.partitionBy("copy").orderBy("apart", "original"), Window.partitionBy("copy")
+    scanned = both.withColumns({"i": F.row_number().over(near), "found": F.count("*").over(all_)}).filter(F.col("i") <= scan)
+    best = scanned.withColumn("j", F.row_number().over(Window.partitionBy("copy").orderBy(F.desc("shared"), "i"))).filter(F.col("j") <= most)
+    return best.select("copy", "original", "shared", (F.col("found") - F.least(F.col("found"), F.lit(scan), F.lit(most))).alias("left_out"))
+
+
 def _likely(prints: DataFrame, pairs: DataFrame, rule: Rule, slack: float = 0.25) -> DataFrame:
     """The pairs that may pass by their signatures: four standard errors below the Jaccard that either test needs.
 

@@ -91,13 +91,14 @@ def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> Data
     weights = pairs.join(facts.select(F.col("fact_id").alias("to_id"), F.col("category").alias("key")), "to_id")
 
     def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        left = {r.from_id: 1.0 - r.taken for r in given.itertuples()}
-        rows = rows.sort_values(["observed_at", "to_id", "from_id"])
-        sources, targets, weights = (rows[c].to_numpy() for c in ("from_id", "to_id", "weight"))
-        starts = np.r_[np.flatnonzero(np.r_[True, targets[1:] != targets[:-1]]), len(targets)]
+        left = {(r.key, r.from_id): 1.0 - r.taken for r in given.itertuples()}
+        rows = rows.sort_values(["key", "observed_at", "to_id", "from_id"])
+        keys, targets, weights = (rows[c].to_numpy() for c in ("key", "to_id", "weight"))
+        sources = list(zip(keys.tolist(), rows["from_id"].tolist(), strict=True))
+        starts = np.r_[np.flatnonzero(np.r_[True, (targets[1:] != targets[:-1]) | (keys[1:] != keys[:-1])]), len(targets)]
         kept, shares = [], []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            rest = np.array([left.get(i, 1.0) for i in sources[a:b].tolist()])
+            rest = np.array([left.get(i, 1.0) for i in sources[a:b]])
             rest[rest <= rule.exhausted] = 0
             weight = weights[a:b] * rest
             good = np.flatnonzero((weight >= rule.least) & (weight >= rule.of_best * weight.max()))
@@ -108,7 +109,7 @@ def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> Data
                 left[sources[a + i]] = round(max(0.0, rest[i] - p), 3)
                 kept.append(a + i)
                 shares.append(p)
-        return rows.iloc[kept].assign(probability=np.array(shares, float))[columns]
+        return rows.iloc[kept].assign(probability=np.array(shares, float))[["key", *columns]]
 
     def carry(out: DataFrame) -> DataFrame:
         return out.groupBy(*RUN, "from_id").agg(F.least(F.lit(1.0), F.round(F.sum("probability"), 3)).alias("taken"))

@@ -36,7 +36,8 @@ def slot(ts: Column, minutes: float) -> Column:
 def passed(rows: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, carry: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The output of ``step(rows, state)`` over the slices of each key in order, with columns part, slot, key and ``schema``.
 
-    ``rows``: key, slot, ... ; ``step`` gets one slice of one key. ``carry`` takes the output of slices, with the columns
+    ``rows``: key, slot, ... ; ``step`` gets one slice of several keys, which it must keep apart by the column key, in both of its
+    arguments and in what it returns. ``carry`` takes the output of slices, with the columns
     ``RUN``, and gives the rows that each hands to the next slice, with the same four columns. Equal rows count each; a state
     is named by the number and the sum of its rows' hashes. Outputs of each round are written in the shared folder.
     """
@@ -49,17 +50,19 @@ def passed(rows: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.Data
     parts = max(1, size.rows // (max(1, size.slots) * GROUP_ROWS))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
     slices = written(rows.select(*SLICE).distinct(), "slice-names")
+    columns = spark.createDataFrame([], typed).columns
     state_columns = [c for c in carry(spark.createDataFrame([], typed)).columns if c not in RUN]
 
-    def run(_: tuple, mine: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        of_key, out = dict(list(mine.drop(columns=["part", "slot"]).groupby("key", sort=False))), []
-        for (key, state), g in given.groupby(["key", "state"], sort=False):
-            part, at = int(g["part"].iloc[0]), int(g["slot"].iloc[0])
-            made = step(of_key[key].drop(columns="key"), g.loc[g["__given"].notna(), state_columns])
-            for place, (name, value) in enumerate((("part", part), ("slot", at), ("key", key), ("state", state))):
-                made.insert(place, name, value)
-            out.append(made)
-        return pd.concat(out)
+    def run(group: tuple, mine: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        variants = given[["key", "state"]].drop_duplicates()
+        named = (variants["key"] + "\x1f" + variants["state"].astype(str)).tolist()
+        of_variant = dict(zip(named, variants.itertuples(index=False, name=None), strict=True))
+        mine = mine.drop(columns=["part", "slot"]).merge(variants.assign(__variant=named), on="key")
+        mine = mine.assign(key=mine["__variant"]).drop(columns=["__variant", "state"])
+        held = given[given["__given"].notna()]
+        out = step(mine, held[state_columns].assign(key=held["key"] + "\x1f" + held["state"].astype(str)))
+        keys = [of_variant[v] for v in out["key"]]
+        return out.assign(part=group[0], slot=group[1], key=[k for k, _ in keys], state=[s for _, s in keys])[columns]
 
     due, given, n = slices.withColumn("state", F.lit(0).cast("long")), None, 0
     while True:

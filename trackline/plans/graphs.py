@@ -31,12 +31,17 @@ def fact_repeats(spark, d):
     return dedup.mark_repeats(_repeatable(spark, d), 30).select("fact_id", "duplicate_of")
 
 
-def _copies_of_facts(spark, d):
+def copies_with_ids(spark, d):
+    """Each repeated fact with the earliest fact of another source that it repeats."""
     f = B.facts(spark, d)
     later, early = f.select("place_id", "category", F.col("source_id").alias("copy_source"), F.col("observed_at").alias("copy_at"), "fact_id"), f.select("place_id", "category", F.col("source_id").alias("original_source"), F.col("observed_at").alias("original_at"), F.col("fact_id").alias("o"))
     slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 3600)
     pairs = later.withColumn("slot", slot("copy_at")).join(early.withColumn("slot", F.explode(F.array(slot("original_at"), slot("original_at") + 1))), ["place_id", "category", "slot"])
-    return pairs.filter("original_at < copy_at and original_at >= copy_at - interval 1 hour and copy_source <> original_source").groupBy("fact_id", "copy_source", "copy_at").agg(F.min(F.struct("original_at", "o", "original_source")).alias("x")).select("copy_source", "copy_at", "x.original_source", "x.original_at")
+    return pairs.filter("original_at < copy_at and original_at >= copy_at - interval 1 hour and copy_source <> original_source").groupBy("fact_id", "copy_source", "copy_at").agg(F.min(F.struct("original_at", "o", "original_source")).alias("x")).select("fact_id", "copy_source", "copy_at", "x.*")
+
+
+def _copies_of_facts(spark, d):
+    return copies_with_ids(spark, d).select("copy_source", "copy_at", "original_source", "original_at")
 
 
 def source_days(spark, d):
@@ -148,6 +153,11 @@ SQL = {
     "links_both_ways": f"""WITH {_F}, {_E} SELECT from_id AS fact_id, to_id AS other, true AS outgoing, probability FROM edges WHERE from_id IN (SELECT head FROM heads)
       UNION ALL SELECT to_id, from_id, false, probability FROM edges WHERE to_id IN (SELECT head FROM heads)""",
 }
+SQL["fact_repeats"] = f"""WITH RECURSIVE {_F}, f AS (SELECT fact_id, place_id, category, row_number() OVER (PARTITION BY place_id, category ORDER BY observed_at, fact_id) AS rn,
+    count(*) OVER (PARTITION BY place_id, category ORDER BY observed_at RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 30 MINUTE FOLLOWING) + 1 AS nxt FROM facts),
+  o AS (SELECT place_id, category, rn, nxt, fact_id FROM f WHERE rn = 1 UNION ALL SELECT f.place_id, f.category, f.rn, f.nxt, f.fact_id FROM o JOIN f ON f.place_id = o.place_id AND f.category = o.category AND f.rn = o.nxt),
+  m AS (SELECT f.fact_id, last_value(o.fact_id IGNORE NULLS) OVER (PARTITION BY f.place_id, f.category ORDER BY f.rn) AS orig FROM f LEFT JOIN o ON o.fact_id = f.fact_id)
+  SELECT fact_id, CASE WHEN orig <> fact_id THEN orig END AS duplicate_of FROM m"""
 SQL["link_weights"] = f"""WITH {_F}, {_P}, l AS (SELECT fact_id, category, observed_at, 10 + length(category) AS win, lon, lat, CASE WHEN k % 2 = 0 THEN k * 3.6::DOUBLE END AS dir, place_id, dest_id, k % 4 AS class_id FROM facts JOIN places USING (place_id)),
   p AS (SELECT c.fact_id AS from_id, n.fact_id AS to_id, (epoch_us(n.observed_at) - epoch_us(c.observed_at)) / 6e7 AS dt, n.class_id = c.class_id AS same_class, c.dir AS dir,
     n.place_id IN (c.place_id, c.dest_id) OR n.dest_id IN (c.place_id, c.dest_id) AS same_place,
