@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -116,3 +117,26 @@ def test_very_long_text_and_repeated_rows(spark):
     assert len(long) > 1_000_000
     assert sorted((r.doc_id, r.item_id, r.edits) for r in D.report(docs, bench).collect()) == [(1, 1, 0), (1, 1, 0), (1, 2, 0), (1, 2, 0)]
     assert D.remove(docs, bench).collect() == [(2, None, "b")]
+
+
+def test_a_line_that_many_items_share():
+    """Fifty items with one line in common against texts that hold it a hundred times."""
+    line = "a line of forty eight bytes that many items share x"
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("bcdfghjk") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    block = D.Block([(i, f"{words(20)} {line} {words(20)}".encode()) for i in range(50)], D.Rule())
+    texts = pa.array([" ".join(f"{words(3)} {line}" for _ in range(100)), "clean " + words(50)])
+    start = time.time()
+    assert block.matches(texts) == [[], []]
+    assert time.time() - start < 20
+
+
+def test_counting_and_aligning_in_pieces(monkeypatch):
+    items = [(i, prose(30).encode()) for i in range(8)] + [(8, prose(30).encode())]
+    items.append((9, items[0][1]))
+    texts = pa.array([prose(20) + " " + edited(t.decode(), n) for _, t in items for n in (0, 5, 12)])
+    whole = D.Block(items, D.Rule()).matches(texts)
+    monkeypatch.setattr(D, "HITS", 50)
+    monkeypatch.setattr(D, "REGIONS", 3)
+    assert D.Block(items, D.Rule()).matches(texts) == whole and sum(map(len, whole)) > 15
+    assert {m["item_id"] for m in whole[0]} == {0, 9}

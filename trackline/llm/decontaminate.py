@@ -34,6 +34,8 @@ from trackline.llm.common import stored
 
 BLOCK_BYTES = 8_000_000  # benchmark text of one block
 SLICE_BYTES = 1_000_000  # text worked on at once
+HITS = 2_000_000  # gram hits counted at once
+REGIONS = 4096  # regions aligned at once
 TABLE_BITS = 22
 
 
@@ -71,23 +73,31 @@ def _grams(data: np.ndarray, q: int) -> np.ndarray:
         width *= 2
 
 
-def banded_edits(pattern: np.ndarray, text: np.ndarray, budget: int) -> int | None:
-    """Least edits between ``pattern`` and any piece of ``text`` whose start is one of the first len(text)-len(pattern)+1.
+def banded_edits(patterns: np.ndarray, texts: np.ndarray, budgets: np.ndarray) -> np.ndarray:
+    """For each row the least edits between its pattern and any piece of its text that starts at one of the first
+    width(texts) - width(patterns) + 1 places; more than the row's budget where more edits are needed.
 
-    Cells are kept by diagonal; None if more than ``budget`` edits are needed.
+    All rows are aligned at once, cells kept by diagonal; every few steps those beyond their budgets leave.
     """
-    m, width = len(pattern), len(text) - len(pattern) + 1
-    if width <= 0:
-        return None
-    steps = np.arange(width)
-    row = np.zeros(width, np.int64)
+    rows, m = patterns.shape
+    width = texts.shape[1] - m + 1
+    out = budgets + 1
+    if width <= 0 or rows == 0:
+        return out
+    alive, steps = np.arange(rows), np.arange(width, dtype=np.int32)
+    row = np.zeros((rows, width), np.int32)
     for i in range(m):
-        cells = row + (text[i : i + width] != pattern[i])
-        cells[:-1] = np.minimum(cells[:-1], row[1:] + 1)
-        row = np.minimum.accumulate(cells - steps) + steps
-        if row.min() > budget:
-            return None
-    return int(row.min())
+        cells = row + (texts[:, i : i + width] != patterns[:, i : i + 1])
+        np.minimum(cells[:, :-1], row[:, 1:] + 1, out=cells[:, :-1])
+        row = np.minimum.accumulate(cells - steps, axis=1) + steps
+        if i % 8 == 7:
+            near = row.min(axis=1) <= budgets
+            if not near.all():
+                alive, row, texts, patterns, budgets = alive[near], row[near], texts[near], patterns[near], budgets[near]
+                if len(alive) == 0:
+                    return out
+    out[alive] = row.min(axis=1)
+    return out
 
 
 class Block:
@@ -95,14 +105,15 @@ class Block:
 
     def __init__(self, items: list[tuple[int, bytes]], rule: Rule):
         self.q = rule.q
-        self.items, self.texts = [], []
+        items_of: dict[bytes, list[int]] = {}
         for item, text in items:
             if len(text) < max(rule.q, rule.least):
                 continue
             starts = [0] if len(text) <= rule.segment else [*range(0, len(text) - rule.segment, rule.stride), len(text) - rule.segment]
             for at in starts:
-                self.items.append(item)
-                self.texts.append(np.frombuffer(text[at : at + rule.segment], np.uint8))
+                items_of.setdefault(text[at : at + rule.segment], []).append(item)
+        self.texts = [np.frombuffer(t, np.uint8) for t in items_of]
+        self.items = [sorted(set(i)) for i in items_of.values()]  # of equal segments one stands for all
         sizes = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.minimum((sizes * rule.edit_rate).astype(np.int64), (sizes - rule.q) // rule.q)
         self.least = sizes + 1 - rule.q - rule.q * self.edits
@@ -132,23 +143,49 @@ class Block:
         if len(at) == 0:
             return np.zeros((0, 4), np.int64)
         many = self.many[key]
-        hit = np.repeat(np.arange(len(at)), many)
-        source = np.repeat(self.first[key] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-        segment, diagonal = self.segment[source], at[hit] - offsets[row[hit]] - self.place[source]
-        half, found = self.edits[segment] + 1, []
+        found, cut = [], np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1
         for shift in (0, 1):
-            band = (diagonal + shift * half) // (2 * half)
-            _, index, count = self._counted(row[hit], segment, band)
-            keep = index[count >= self.least[segment[index]]]
-            low = band[keep] * 2 * half[keep] - shift * half[keep]
-            found.append(np.stack([row[hit][keep], segment[keep], low, low + 2 * half[keep] - 1], 1))
+            codes, counts = [], []
+            for part in np.split(np.arange(len(at)), cut):
+                code, count = np.unique(self._codes(at[part], row[part], key[part], offsets, shift), axis=0, return_counts=True)
+                codes.append(code)
+                counts.append(count)
+            code, which = np.unique(np.concatenate(codes), axis=0, return_inverse=True)
+            count = np.bincount(which.ravel(), np.concatenate(counts)).astype(np.int64)
+            keep = code[count >= self.least[code[:, 1]]]
+            half = self.edits[keep[:, 1]] + 1
+            low = keep[:, 2] * 2 * half - shift * half
+            found.append(np.stack([keep[:, 0], keep[:, 1], low, low + 2 * half - 1], 1))
         return np.concatenate(found)
 
-    @staticmethod
-    def _counted(row: np.ndarray, segment: np.ndarray, band: np.ndarray):
-        span = int(band.max() - band.min()) + 1
-        code = (row * (int(segment.max()) + 1) + segment) * span + (band - band.min())
-        return np.unique(code, return_index=True, return_counts=True)
+    def _codes(self, at: np.ndarray, row: np.ndarray, key: np.ndarray, offsets: np.ndarray, shift: int) -> np.ndarray:
+        """(text, segment, band) of each hit of the grams at some places."""
+        many = self.many[key]
+        hit = np.repeat(np.arange(len(at)), many)
+        source = np.repeat(self.first[key] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+        segment = self.segment[source]
+        half = self.edits[segment] + 1
+        return np.stack([row[hit], segment, (at[hit] - offsets[row[hit]] - self.place[source] + shift * half) // (2 * half)], 1)
+
+    def _aligned(self, regions: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The edits of each region, aligned in groups of equal lengths; a text that stands in several regions of one segment
+        is aligned once."""
+        sizes = np.array([len(t) for t in self.texts], np.int64)[regions[:, 1]]
+        budgets, out = self.edits[regions[:, 1]], np.zeros(len(regions), np.int64)
+        for size in np.unique(sizes):
+            for budget in np.unique(budgets[sizes == size]):
+                mine = np.flatnonzero((sizes == size) & (budgets == budget))
+                for part in np.array_split(mine, -(-len(mine) // REGIONS)):
+                    row, segment, low, high = regions[part].T
+                    a, wide = offsets[row] + low - budget, int(high[0] - low[0]) + size + 2 * budget + 1
+                    place = a[:, None] + np.arange(wide)
+                    inside = (place >= offsets[row][:, None]) & (place < offsets[row + 1][:, None])
+                    texts = np.where(inside, data[place.clip(0, len(data) - 1)], 0)  # zeros stand outside the text and equal no byte of a segment
+                    both = np.concatenate([texts, np.ascontiguousarray(segment)[:, None].view(np.uint8)], axis=1)
+                    _, first, which = np.unique(both, axis=0, return_index=True, return_inverse=True)
+                    patterns = np.stack([self.texts[s] for s in segment[first].tolist()])
+                    out[part] = banded_edits(patterns, texts[first], np.full(len(first), budget))[which.ravel()]
+        return out
 
     def matches(self, values: pa.Array) -> list[list[dict]]:
         """For each text, the items found in it with the fewest edits of any of their segments."""
@@ -159,16 +196,12 @@ class Block:
         best: list[dict] = [{} for _ in range(len(values))]
         if not self.texts:
             return [[] for _ in best]
-        for row, segment, low, high in self._regions(data, offsets).tolist():
-            pattern, budget = self.texts[segment], int(self.edits[segment])
-            text = data[offsets[row] : offsets[row + 1]]
-            a, b = low - budget, high + len(pattern) + budget + 1
-            region = np.zeros(b - a, np.uint8)  # zeros stand outside the text and equal no byte of a segment
-            region[max(0, -a) : max(0, -a) + len(text[max(a, 0) : max(b, 0)])] = text[max(a, 0) : max(b, 0)]
-            edits = banded_edits(pattern, region, budget)
-            if edits is not None and edits <= budget:
-                item = self.items[segment]
-                best[row][item] = min(edits, best[row].get(item, edits))
+        regions = self._regions(data, offsets)
+        edits = self._aligned(regions, data, offsets) if len(regions) else np.zeros(0, np.int64)
+        good = edits <= self.edits[regions[:, 1]]
+        for row, segment, e in np.column_stack([regions[good, 0], regions[good, 1], edits[good]]).tolist():
+            for item in self.items[segment]:
+                best[row][item] = min(e, best[row].get(item, e))
         return [[{"item_id": i, "edits": e} for i, e in sorted(x.items())] for x in best]
 
 
