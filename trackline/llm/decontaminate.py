@@ -36,6 +36,7 @@ BLOCK_BYTES = 8_000_000  # benchmark text of one block
 SLICE_BYTES = 1_000_000  # text worked on at once
 HITS = 2_000_000  # gram hits counted at once
 REGIONS = 4096  # regions aligned at once
+BANDS = 1 << 16  # more than there are bands before a text's first place
 TABLE_BITS = 22
 
 
@@ -143,33 +144,38 @@ class Block:
         if len(at) == 0:
             return np.zeros((0, 4), np.int64)
         many = self.many[key]
-        found, cut = [], np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1
+        found, span = [], len(data) + 2 * BANDS
+        cut = np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1
         for shift in (0, 1):
             codes, counts = [], []
             for part in np.split(np.arange(len(at)), cut):
-                code, count = np.unique(self._codes(at[part], row[part], key[part], offsets, shift), axis=0, return_counts=True)
+                code, count = np.unique(self._codes(at[part], row[part], key[part], offsets, shift, span), return_counts=True)
                 codes.append(code)
                 counts.append(count)
-            code, which = np.unique(np.concatenate(codes), axis=0, return_inverse=True)
-            count = np.bincount(which.ravel(), np.concatenate(counts)).astype(np.int64)
-            keep = code[count >= self.least[code[:, 1]]]
-            half = self.edits[keep[:, 1]] + 1
-            low = keep[:, 2] * 2 * half - shift * half
-            found.append(np.stack([keep[:, 0], keep[:, 1], low, low + 2 * half - 1], 1))
+            code, count = codes[0], counts[0]
+            if len(codes) > 1:
+                code, which = np.unique(np.concatenate(codes), return_inverse=True)
+                count = np.bincount(which, np.concatenate(counts)).astype(np.int64)
+            both, band = np.divmod(code, span)
+            text, segment = np.divmod(both, len(self.texts))
+            keep = count >= self.least[segment]
+            text, segment, half = text[keep], segment[keep], self.edits[segment[keep]] + 1
+            low = (band[keep] - BANDS) * 2 * half - shift * half
+            found.append(np.stack([text, segment, low, low + 2 * half - 1], 1))
         return np.concatenate(found)
 
-    def _codes(self, at: np.ndarray, row: np.ndarray, key: np.ndarray, offsets: np.ndarray, shift: int) -> np.ndarray:
-        """(text, segment, band) of each hit of the grams at some places."""
+    def _codes(self, at: np.ndarray, row: np.ndarray, key: np.ndarray, offsets: np.ndarray, shift: int, span: int) -> np.ndarray:
+        """Text, segment and band of each hit of the grams at some places, as one number."""
         many = self.many[key]
         hit = np.repeat(np.arange(len(at)), many)
         source = np.repeat(self.first[key] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
         segment = self.segment[source]
         half = self.edits[segment] + 1
-        return np.stack([row[hit], segment, (at[hit] - offsets[row[hit]] - self.place[source] + shift * half) // (2 * half)], 1)
+        band = (at[hit] - offsets[row[hit]] - self.place[source] + shift * half) // (2 * half)
+        return (row[hit] * len(self.texts) + segment) * span + band + BANDS
 
     def _aligned(self, regions: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The edits of each region, aligned in groups of equal lengths; a text that stands in several regions of one segment
-        is aligned once."""
+        """The edits of each region, aligned together in groups of equal lengths."""
         sizes = np.array([len(t) for t in self.texts], np.int64)[regions[:, 1]]
         budgets, out = self.edits[regions[:, 1]], np.zeros(len(regions), np.int64)
         for size in np.unique(sizes):
@@ -181,10 +187,8 @@ class Block:
                     place = a[:, None] + np.arange(wide)
                     inside = (place >= offsets[row][:, None]) & (place < offsets[row + 1][:, None])
                     texts = np.where(inside, data[place.clip(0, len(data) - 1)], 0)  # zeros stand outside the text and equal no byte of a segment
-                    both = np.concatenate([texts, np.ascontiguousarray(segment)[:, None].view(np.uint8)], axis=1)
-                    _, first, which = np.unique(both, axis=0, return_index=True, return_inverse=True)
-                    patterns = np.stack([self.texts[s] for s in segment[first].tolist()])
-                    out[part] = banded_edits(patterns, texts[first], np.full(len(first), budget))[which.ravel()]
+                    patterns = np.stack([self.texts[s] for s in segment.tolist()])
+                    out[part] = banded_edits(patterns, texts, np.full(len(part), budget))
         return out
 
     def matches(self, values: pa.Array) -> list[list[dict]]:
