@@ -78,3 +78,15 @@ def test_cap_keeps_the_nearest_and_says_what_it_left(spark):
     kept = lambda *a: {(r.original, r.shared, r.left_out) for r in C.capped(prints, pairs, *a).collect()}
     assert kept() == {(1, 3, 0), (2, 1, 0), (3, 2, 0)}
     assert kept(2, 1) == {(3, 2, 2)} and kept(3, 2) == {(1, 3, 1), (3, 2, 1)}
+
+
+def test_components_of_chains_and_stars(spark):
+    import random
+
+    draw = random.Random(3)
+    names = draw.sample(range(10**9), 700)
+    edges = [(names[i], names[i + 1]) for i in range(400)] + [(names[500], names[i]) for i in range(501, 560)] + [(names[600], names[600])] + [(names[601], names[602])] * 2
+    got = {r.node: r.comp for r in connected(spark.createDataFrame(edges, "a long, b long"), 12).collect()}
+    want = {n: min(group) for group in (names[:401], names[500:560], names[600:601], names[601:603]) for n in group}
+    assert got == want
+    assert connected(spark.createDataFrame([], "a long, b long")).count() == 0

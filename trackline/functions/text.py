@@ -94,12 +94,14 @@ def minhash(values: Column, size: int = 64, seed: int = 17) -> Column:
             if not row:
                 out.append([])
                 continue
-            x = np.array(row, np.int64).view(np.uint64)
-            with np.errstate(over="ignore"):
-                h = x[:, None] * a + b
-                h ^= h >> np.uint64(33)
-                h *= np.uint64(0xFF51AFD7ED558CCD)
-            out.append((h.min(0) >> np.uint64(32)).astype(np.int64).tolist())
+            x, least = np.array(row, np.int64).view(np.uint64), np.full(size, np.iinfo(np.uint64).max)
+            for at in range(0, len(x), 8192):  # a long text is no wider than a short one
+                with np.errstate(over="ignore"):
+                    h = x[at : at + 8192, None] * a + b
+                    h ^= h >> np.uint64(33)
+                    h *= np.uint64(0xFF51AFD7ED558CCD)
+                least = np.minimum(least, h.min(0))
+            out.append((least >> np.uint64(32)).astype(np.int64).tolist())
         return pa.array(out, pa.list_(pa.int64()))
 
     return signature(values)

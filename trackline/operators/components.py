@@ -33,19 +33,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def connected(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """``node, comp`` for edges (a, b): each node with the least node of its component.
 
-    Every node takes the least label among its neighbours' and then its label's own label, so labels travel twice as far
-    each round; a round is written down, and the loop ends when no label changed. If ``rounds`` do not get there, it is an
-    error, never a partial result.
+    In each round every component points to its least neighbour, if that is less, and to where that one points; components
+    that point at each other's end become one, and edges inside one go. Only components that are less than all their
+    neighbours stay, at most half of them, so a chain of any length ends in a logarithm of rounds. Each is written down; if
+    ``rounds`` do not get there, it is an error, never a partial result.
     """
-    pairs = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
-    labels = written(pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("comp")).withColumnRenamed("a", "node"), "labels")
+    graph = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
+    labels = written(graph.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct(), "labels")
     for _ in range(rounds):
-        near = pairs.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        joined = labels.join(near, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("low"))
-        upper = labels.select(F.col("node").alias("__n"), F.col("comp").alias("__c"))
-        moved = written(joined.join(upper, F.col("low") == F.col("__n")).select("node", "comp", F.least("low", "__c").alias("low")), "labels")
-        changed = not moved.filter("comp <> low").isEmpty()
-        labels = moved.select("node", F.col("low").alias("comp"))
-        if not changed:
+        up = written(graph.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up")), "ups")
+        far = up.select(F.col("a").alias("up"), F.col("up").alias("far"))
+        up = written(up.join(far, "up").select("a", F.col("far").alias("up")), "ups")
+        labels = written(labels.join(up, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+        ends = graph.join(up.withColumnRenamed("up", "x"), "a").join(up.select(F.col("a").alias("b"), F.col("up").alias("y")), "b")
+        graph = written(ends.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "pairs")
+        if graph.isEmpty():
             return labels
     raise RuntimeError(f"components are not stable after {rounds} rounds")

@@ -84,7 +84,9 @@ def verified(prints: DataFrame, pairs: DataFrame, rule: Rule = Rule()) -> DataFr
     both = _likely(prints, pairs, rule)
     side = lambda name: prints.select(F.col("raw_message_id").alias(name), F.col("source").alias(f"{name}_source"), F.col("published_at").alias(f"{name}_at"), F.col("shingles").alias(f"{name}_sh"), F.col("length").alias(f"{name}_len"))
     both = both.join(side("copy"), "copy").join(side("original"), "original")
-    scored = both.withColumns({"jaccard": T.jaccard(F.col("copy_sh"), F.col("original_sh")), "containment": T.containment(F.col("copy_sh"), F.col("original_sh"))})
+    shared, least, total = F.size(F.array_intersect("copy_sh", "original_sh")), F.least(F.size("copy_sh"), F.size("original_sh")), F.size("copy_sh") + F.size("original_sh")
+    both = both.withColumns({"shared": shared, "least": least, "total": total})  # one intersection serves both measures
+    scored = both.withColumns({"jaccard": F.when(F.col("total") > 0, F.col("shared") / (F.col("total") - F.col("shared"))).otherwise(F.lit(0.0)), "containment": F.when(F.col("least") > 0, F.col("shared") / F.col("least")).otherwise(F.lit(0.0))})
     long_enough = F.least("copy_len", "original_len") >= rule.contained_length
     good = scored.filter((F.col("jaccard") >= rule.jaccard) | ((F.col("containment") >= rule.containment) & long_enough))
     kind = F.when(F.col("jaccard") >= rule.verbatim, VERBATIM).otherwise(NEAR)

@@ -87,7 +87,8 @@ def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> Data
     are passed in order, in slices as long as the window (``slices.passed``); a slice hands over what it took from whom.
     """
     columns = ["from_id", "to_id", "probability", "gap_km", "dt", "theta", "need_min"]
-    pairs = weighted(candidate_pairs(facts, window_min), rule).filter(F.col("weight") >= rule.least)  # weights only fall
+    widest = facts.agg(F.max("win_min")).first()[0] or window_min  # pairs meet in slots no wider than they need
+    pairs = weighted(candidate_pairs(facts, min(widest, window_min)), rule).filter(F.col("weight") >= rule.least)  # weights only fall
     weights = pairs.join(facts.select(F.col("fact_id").alias("to_id"), F.col("category").alias("key")), "to_id")
 
     def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:

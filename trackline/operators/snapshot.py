@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackline.functions import text as T
+
 
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key in the given order. Spark prunes each task's rows before the shuffle."""
@@ -96,9 +98,11 @@ def alert_layer(levels: DataFrame, places: DataFrame) -> DataFrame:
     return levels.join(nearest, "place_id", "left").filter(F.col("above").isNull() | (F.col("above") != F.col("level"))).select("place_id", "level")
 
 
-def search_places(places: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
-    """Places whose folded name starts with a prefix of at least two characters: larger ones first, regions last."""
-    if len(prefix.strip()) < 2:
+def search_places(places: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
+    """Settlements, districts and regions whose folded name starts with a prefix of at least two characters: regions last, larger
+    ones first, at most 50. ``places``: place_id, name, level, population."""
+    start = " ".join(prefix.lower().split())
+    if len(start) < 2:
         return places.limit(0)
-    match = F.lower(F.col("name")).startswith(prefix.strip().lower())
-    return places.filter(match).orderBy(F.col("parent_id").isNull(), "name", "place_id").limit(min(max(limit, 1), 50))
+    shown = places.filter(~F.col("level").isin("country", "area") & T.folded_name(F.col("name")).startswith(start))
+    return shown.orderBy(F.col("level") == "region", F.desc("population"), "place_id").limit(min(max(limit, 1), 50))

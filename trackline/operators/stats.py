@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackline.functions import calendar as C
+from trackline.operators.percentiles import exact
 
 
 def per_bucket(facts: DataFrame, unit: str, ts: str = "observed_at", by: str = "category") -> DataFrame:
@@ -84,12 +85,16 @@ def source_stats(worked: DataFrame, with_facts: DataFrame, max_lag_s: float) ->
 
 
 def rollup_report(worked: DataFrame) -> DataFrame:
-    """Status counts, mean and percentiles of the amount per source, and over all sources (source_id -1)."""
-    p = lambda q: F.expr(f"percentile(amount, {q})")
-    return worked.rollup("source_id").agg(
-        F.grouping("source_id").alias("__all"), F.count("*").alias("received"), F.count_if(F.col("status") == "F").alias("processed"), F.count_if(F.col("status") == "O").alias("pending"),
-        F.count_if(F.col("status") == "P").alias("in_progress"), p(0.5).alias("p50"), p(0.9).alias("p90"), F.avg("amount").alias("mean"),
-    ).select(F.when(F.col("__all") == 1, -1).otherwise(F.col("source_id")).alias("source_id"), "received", "processed", "pending", "in_progress", "p50", "p90", "mean")
+    """Status counts, mean and percentiles of the amount per source, and over all sources (source_id -1).
+
+    Percentiles come from cumulative counts (``percentiles.exact``), so the total over all rows is no single buffer.
+    """
+    both = worked.withColumn("source_id", F.explode(F.array("source_id", F.lit(-1))))
+    counts = both.groupBy("source_id").agg(
+        F.count("*").alias("received"), F.count_if(F.col("status") == "F").alias("processed"), F.count_if(F.col("status") == "O").alias("pending"),
+        F.count_if(F.col("status") == "P").alias("in_progress"), F.avg("amount").alias("mean"),
+    )
+    return counts.alias("c").join(exact(both, ["source_id"], "amount", {"p50": 0.5, "p90": 0.9}).alias("p"), F.col("c.source_id").eqNullSafe(F.col("p.source_id")), "left").select("c.source_id", "received", "processed", "pending", "in_progress", "p50", "p90", "mean")
 
 
 def dense(counts: DataFrame, spine: DataFrame, keys: DataFrame, on: str, key: str, value: str) -> DataFrame:

@@ -47,11 +47,18 @@ def resolve_forwards(messages: DataFrame, channels: DataFrame) -> DataFrame:
     return m.withColumns({"forwarded_source_id": inside, "forwarded_external": F.col("forwarded_from").isNotNull() & F.col("__s").isNull()}).drop("__f", "__c", "__s")
 
 
-def snapshot_changes(known: DataFrame, active: DataFrame, at: Column) -> DataFrame:
-    """alert_id, kind, at: what a poll's active set starts and ends against the open alerts of the store."""
-    k, a = known.select("alert_id").distinct().withColumn("__k", F.lit(True)), active.select("alert_id").distinct().withColumn("__a", F.lit(True))
-    both = k.join(a, "alert_id", "full").filter("__k is null or __a is null")
-    return both.select("alert_id", F.when(F.col("__k").isNull(), "alert.started").otherwise("alert.finished").alias("kind"), at.alias("at"))
+def snapshot_changes(known: DataFrame, active: DataFrame, at: Column, stored: DataFrame | None = None) -> DataFrame:
+    """alert_id, kind, at: what a poll's active set starts and ends against the set of the poll before.
+
+    ``stored``: alerts without an end in the store; those in neither set were not started by this feed, or ended unseen, and end
+    too. Ending is idempotent by id, so an alert that ends again is no harm.
+    """
+    one = lambda df, name: df.select("alert_id").distinct().withColumn(name, F.lit(True))
+    held = one(known if stored is None else known.select("alert_id").unionByName(stored.select("alert_id")), "__k")
+    before = one(known, "__b")
+    both = held.join(one(active, "__a"), "alert_id", "full").join(before, "alert_id", "left")
+    starts, ends = F.col("__a").isNotNull() & F.col("__b").isNull(), F.col("__a").isNull()
+    return both.filter(starts | ends).select("alert_id", F.when(ends, "alert.finished").otherwise("alert.started").alias("kind"), at.alias("at"))
 
 
 def history_events(alerts: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from trackline.operators import copies as C
+from trackline.operators.snapshot import changes_worth_sending
 
 
 def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 1000) -> DataFrame:
@@ -99,3 +101,24 @@ def into_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], ch
 def replace_days(spark: SparkSession, df: DataFrame, path: str, day: str = "day") -> None:
     """Write only the days that ``df`` has; other days of the folder stay as they are."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def settled(messages: DataFrame, now: Column, lag_s: float = 30) -> DataFrame:
+    """Messages that arrived before a safety lag: ids still being written behind them cannot be passed over."""
+    return messages.filter(F.timestamp_diff("SECOND", F.col("received_at"), now) >= lag_s)
+
+
+def push_changes(changes: DataFrame, now: Callable[[], datetime], limits_s: dict[str, float], push: Callable[[DataFrame, int], None], checkpoint: str, stale: list[tuple[int, int]] | None = None) -> StreamingQuery:
+    """Hand the fresh changes of each micro-batch to ``push``; stale ones, as a rebuild makes them, are only counted: (batch, n)
+    is added to ``stale``. ``changes``: kind, at, ...; kinds without a limit are stale."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        marked = changes_worth_sending(batch, F.lit(now()).cast("timestamp"), limits_s).persist()
+        try:
+            push(marked.filter("fresh").drop("fresh"), number)
+            if stale is not None:
+                stale.append((number, marked.filter("not fresh").count()))
+        finally:
+            marked.unpersist()
+
+    return into_batches(changes, handle, checkpoint)
