@@ -92,3 +92,34 @@ def test_positions(spark):
     grid = spark.createDataFrame([(at(m),) for m in (5, 12, 100)], "at timestamp_ntz")
     got = {r.at: r.lon for r in estimate.positions(s, grid, 30).collect()}
     assert got == pytest.approx({at(5): 30.5, at(12): 31.0})
+
+
+def test_text_alerts_equal_one_pass(spark):
+    """A crowded history against intervals kept in a list and looked through for each event."""
+    import random
+
+    draw, limit = random.Random(4), timedelta(hours=3)
+    rows = [(i, draw.randint(1, 3), draw.choice([10, 20, 21]), draw.choice(["alert"] * 4 + ["cancel"]), at(draw.randint(0, 3000)), draw.choice([0, 1, 2, None])) for i in range(600)]
+    places = spark.createDataFrame([(10, None), (20, 10), (21, 10)], "place_id int, parent_id int")
+    df = spark.createDataFrame(rows, "id long, source_id long, place_id int, kind string, at timestamp_ntz, level int")
+    got = sorted(map(str, map(tuple, intervals.text_alerts(df, places).select("source_id", "place_id", "start", "end", "level").collect())))
+    want = []
+    for place in (10, 20, 21):
+        held = []
+        for _, source, p, kind, when, level in sorted(rows, key=lambda r: (r[4], r[0])):
+            if p != place and not (kind == "cancel" and p == 10):
+                continue
+            live = [a for a in held if a[3] is None]
+            if kind == "cancel":
+                for a in live:
+                    a[3] = when
+                continue
+            mine = [a for a in live if a[0] == source]
+            if mine and when - mine[0][2] > limit:
+                mine[0][3], mine = when, []
+            if not mine:
+                held.append([source, place, when, None, level])
+            elif level:
+                mine[0][4] = level
+        want += [(a[0], a[1], a[2], a[2] + limit if a[3] is None else min(a[3], a[2] + limit), a[4]) for a in held]
+    assert got == sorted(map(str, want)) and len(want) > 100

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from datetime import datetime, timedelta
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,24 +51,27 @@ def repaired(alerts: DataFrame) -> DataFrame:
     return alerts.withColumn("end", F.when(F.col("end") >= F.col("start"), F.col("end")))
 
 
-def _text_alerts(rows: pd.DataFrame, max_age: pd.Timedelta) -> list[dict]:
-    """The ordered pass over the events of one place: announcements, repeats and all-clears."""
-    out: list[dict] = []
-    for r in rows.sort_values(["at", "id"]).itertuples():
-        live = [a for a in out if a["start"] <= r.at and (a["end"] is None or a["end"] > r.at)]
-        if r.kind == "cancel":
-            for a in live:
-                a["end"] = r.at
-            continue
-        live = [a for a in live if a["source_id"] == r.source_id]
-        current = max(live, key=lambda a: a["start"], default=None)
-        if current is not None and r.at - current["start"] > max_age:
-            current["end"], current = r.at, None
-        if current is None:
-            out.append({"source_id": r.source_id, "place_id": r.place_id, "start": r.at, "end": None, "level": r.level})
-        elif r.level:
-            current["level"] = r.level
-    return out
+class _Place:
+    """The open intervals of one place, one of a source at most; events come in order."""
+
+    def __init__(self, place_id: int, limit: timedelta):
+        self.place_id, self.limit, self.open = place_id, limit, {}
+
+    def close(self, source: int, at: datetime | None) -> dict:
+        a = self.open.pop(source)
+        end = a["start"] + self.limit
+        return a | {"end": end if at is None else min(at, end)}
+
+    def take(self, e: dict) -> Iterator[dict]:
+        for source in [s for s, a in self.open.items() if e["at"] - a["start"] > self.limit]:
+            yield self.close(source, None)
+        if e["kind"] == "cancel":
+            for source in list(self.open):
+                yield self.close(source, e["at"])
+        elif e["source_id"] not in self.open:
+            self.open[e["source_id"]] = {"source_id": e["source_id"], "place_id": self.place_id, "start": e["at"], "level": e["level"]}
+        elif e["level"]:
+            self.open[e["source_id"]]["level"] = e["level"]
 
 
 def text_alerts(events: DataFrame, places: DataFrame, max_age_hours: float = 3) -> DataFrame:
@@ -73,25 +79,29 @@ def text_alerts(events: DataFrame, places: DataFrame, max_age_hours: float = 3)
 
     ``events``: id, source_id, place_id, kind (alert / cancel), at, level. An all-clear ends what is in force in its place
     and the places directly inside. A repeat keeps an interval and may raise its level; after ``max_age_hours`` it starts a
-    new one, and an interval nobody ends expires then. The ordered pass runs per place; silence longer than the age limit
-    cuts a place's events into runs that cannot touch each other, so a group is one run however long the history.
+    new one, and an interval nobody ends expires then. Events pass through a task sorted by place and time; what is held is
+    the open intervals of one place, however long its history.
     """
     child = places.filter("parent_id is not null").select(F.col("parent_id").alias("place_id"), F.col("place_id").alias("child"))
-    cancels = events.filter("kind = 'cancel'")
-    inside = cancels.join(F.broadcast(child), "place_id").withColumn("place_id", F.col("child")).drop("child")
-    every = events.unionByName(inside)
-    w = Window.partitionBy("place_id").orderBy("at", "id")
-    quiet = F.coalesce(seconds(F.lag("at").over(w), "at") > 2 * max_age_hours * 3600, F.lit(True))
-    runs = every.withColumn("__new", quiet.cast("int")).withColumn("__run", F.sum("__new").over(w))
-    limit = pd.Timedelta(hours=max_age_hours)
-
-    def passed(frames: pd.DataFrame) -> pd.DataFrame:
-        rows = _text_alerts(frames, limit)
-        for a in rows:
-            a["end"] = min(a["end"], a["start"] + limit) if a["end"] is not None else a["start"] + limit
-        return pd.DataFrame(rows, columns=["source_id", "place_id", "start", "end", "level"])
-
-    return runs.groupBy("place_id", "__run").applyInPandas(passed, "source_id long, place_id int, start timestamp_ntz, end timestamp_ntz, level int")
+    inside = events.filter("kind = 'cancel'").join(child, "place_id").withColumn("place_id", F.col("child")).drop("child")
+    every = events.unionByName(inside).select("id", F.col("source_id").cast("long").alias("source_id"), F.col("place_id").cast("int").alias("place_id"), "kind", F.col("at").cast("timestamp_ntz").alias("at"), F.col("level").cast("int").alias("level"))
+    limit = timedelta(hours=max_age_hours)
+    schema = pa.schema([("source_id", pa.int64()), ("place_id", pa.int32()), ("start", pa.timestamp("us")), ("end", pa.timestamp("us")), ("level", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, out = None, []
+        for batch in batches:
+            for e in batch.to_pylist():
+                if place is None or e["place_id"] != place.place_id:
+                    out += [place.close(s, None) for s in list(place.open)] if place else []
+                    place = _Place(e["place_id"], limit)
+                out += place.take(e)
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out = []
+        yield pa.RecordBatch.from_pylist([place.close(s, None) for s in list(place.open)] if place else [], schema)
+
+    ordered = every.filter("place_id is not null").repartition("place_id").sortWithinPartitions("place_id", "at", "id")
+    return ordered.mapInArrow(run, "source_id long, place_id int, start timestamp_ntz, end timestamp_ntz, level int")
 
 
 def clip(alerts: DataFrame, start: Column, end: Column) -> DataFrame:
