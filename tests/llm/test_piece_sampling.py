@@ -94,3 +94,11 @@ def test_pieces_of_a_table(spark, monkeypatch):
     want = {(r.doc_id, tuple(r.ids)) for r in docs.filter("text is not null").select("doc_id", P.encode(F.col("text"), F.col("doc_id"), PATH).alias("ids")).collect()}
     assert {(r.doc_id, tuple(r.piece_ids)) for r in out if r.text is not None} == want
     assert P.pieces(docs.limit(0), PATH).count() == 0
+
+
+def test_report_of_a_very_long_text_and_repeated_rows(spark):
+    text = "the blest of the onthat, ñandú 日本 " * 40_000
+    docs = spark.createDataFrame([(1, text, 7), (1, text, 7), (2, None, 8)], "doc_id long, text string, n_pieces int")
+    rows = P.report(docs, PATH).orderBy("doc_id").collect()
+    assert len(text) > 1_000_000 and rows[0] == rows[1] and rows[0].lossless and rows[0].n_pieces > 100_000
+    assert (rows[2].n_pieces, rows[2].lossless) == (1, True)

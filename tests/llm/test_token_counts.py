@@ -49,3 +49,11 @@ def test_a_full_cache_changes_nothing(monkeypatch, bound):
     monkeypatch.setattr(T, "MAX_CACHED", bound)
     model = T.WholeTokens(PATH)
     assert model.count(TEXTS) == model.count(TEXTS)
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    text = "The quick brown fox's 1234 jumps; " * 40_000
+    docs = spark.createDataFrame([(1, text, "x"), (1, text, "x"), (2, None, "y")], "doc_id long, text string, over_limit string")
+    n = len(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids)
+    assert len(text) > 1_000_000
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in T.report(docs, PATH).collect()) == [(1, len(text), n), (1, len(text), n), (2, 0, 0)]

@@ -3,6 +3,9 @@
 Offline, every vocabulary string is encoded alone; those that come back as one token are proved whole.
 A pre-token that is a proved string costs one token and no merging. Only other pre-tokens are merged, each
 distinct one once per run of texts, by the library itself.
+
+Null and empty texts have no tokens; repeated rows count alike; a very long text is split whole, in a run of its own. An
+empty table gives no rows. Only doc_id and text are read, so columns of other names cannot clash.
 """
 
 from __future__ import annotations

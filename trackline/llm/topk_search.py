@@ -12,7 +12,8 @@ but the pivots, two counts and the dimension.
 Rows with a null id or vector, or a null or non-finite component, take no part. Vectors of different lengths are
 compared as if the shorter ended in zeros. A repeated query id is answered once, for its smallest vector; repeated
 candidate rows each count; a candidate with the query's id is the query's own row. Components must be small enough
-for the products to fit in 64 bits.
+for the products to fit in 64 bits. An empty table gives no rows. Only the id and the vector are read, so columns of other
+names cannot clash.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ block. A rule stands in an inverted index under its rarest token, so a url meets
 
 Null urls and urls without ``://`` have an empty host and path, no tokens and the verdict ``allow``. Equal urls share
 one verdict; each input row gets one row. Labels of a page are those of the document with its id; of several labels any
-bad one counts. With no labels nothing is mined.
+bad one counts. With no labels nothing is mined. Urls of any length are taken whole. An empty table gives no rows. Only
+page_id and url are read, so columns of other names cannot clash.
 """
 
 from __future__ import annotations
