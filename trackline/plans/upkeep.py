@@ -10,7 +10,7 @@ from trackline.functions import calendar as C
 from trackline.operators import answers as Q
 from trackline.operators import decorate as D
 from trackline.operators import ratings
-from trackline.operators.components import shared_dir
+from trackline.operators.components import shared_dir, written
 from trackline.plans import graphs, understanding
 from trackline.sources import bindings as B
 from trackline.streaming import counters
@@ -87,7 +87,7 @@ def preset_periods(spark, d):
 def source_days_by_batch(spark, d):
     """Daily counters of sources, kept in four batches: facts without repeats, then their repeats, the later half first."""
     f = B.facts(spark, d)
-    repeats = graphs.copies_with_ids(spark, d).select("fact_id", F.col("o").alias("duplicate_of"))
+    repeats = written(graphs.copies_with_ids(spark, d).select("fact_id", F.col("o").alias("duplicate_of")), "repeats")
     half = F.expr("timestamp_ntz'2024-01-16 00:00:00'")
     plain = f.select("fact_id", "source_id", "observed_at", F.lit(None).cast("long").alias("duplicate_of"), F.lit(1).cast("long").alias("seq"))
     marked = f.join(repeats, "fact_id").select("fact_id", "source_id", "observed_at", "duplicate_of", F.lit(2).cast("long").alias("seq"))
