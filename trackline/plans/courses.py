@@ -11,10 +11,10 @@ from trackline.sources import bindings as B
 
 def track_events(spark, d):
     """Facts as events: every twentieth an all-clear of its region, every seventh only names a destination, those told again
-    by another source within three minutes are its repeats."""
+    by another source within the hour are its repeats."""
     p = B.places(spark, d).select("place_id", F.col("parent_id").alias("region_id"), "lon", "lat")
     dest = p.select(F.col("place_id").alias("dest_id"), F.col("region_id").alias("dest_region_id"), F.col("lon").alias("dest_lon"), F.col("lat").alias("dest_lat"))
-    again = graphs.copies_with_ids(spark, d).filter("copy_at <= original_at + interval 3 minutes").select("fact_id", F.col("o").alias("duplicate_of"))
+    again = graphs.copies_with_ids(spark, d).select("fact_id", F.col("o").alias("duplicate_of"))
     f = B.facts(spark, d).join(p, "place_id").join(dest, "dest_id").join(again, "fact_id", "left")
     k, i = F.col("k"), F.col("fact_id")
     end, named = i % 20 == 0, i % 7 == 0
