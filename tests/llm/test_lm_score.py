@@ -64,3 +64,12 @@ def test_nothing_to_learn_from(spark):
 def test_words_of_a_vocabulary_sum_to_one_at_most():
     vocab = vocabulary(PATH)
     assert math.exp(vocab.log_end) + sum(math.exp(p) for p in vocab.log_p if p > -1e9) == pytest.approx(1.0)
+
+
+def test_very_long_text_and_repeated_rows(spark):
+    rows = [(0, "the cat sat " * 120_000), (0, "the cat sat " * 120_000), (2, "cat"), (6, "dog the")]
+    docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
+    got = sorted((r.doc_id, r.n_tokens, r.n_known, r.held_out) for r in M.score(docs, PATH).collect())
+    held = {i: crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    known = {w for i, t in rows if not held[i] for w in t.split()}
+    assert got == sorted((i, len(t.split()) + 1, sum(w in known for w in t.split()) + 1, held[i]) for i, t in rows)

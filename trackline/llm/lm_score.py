@@ -13,7 +13,8 @@ training count and lattice probability) and its texts as numbers of those words.
 by word, of one row per word and chunk however often the word stands there, and come back to the chunks in one shuffle by
 chunk. No word, text or chunk is ever a group of unbounded size, and no part of the vocabulary is broadcast.
 
-Null texts count as empty: one end token. Repeated rows are counted and scored each.
+Null texts count as empty: one end token. Repeated rows are counted and scored each. A very long text is a chunk of its own,
+taken whole. An empty table gives no rows. Only doc_id and text are read, so columns of other names cannot clash.
 """
 
 from __future__ import annotations
