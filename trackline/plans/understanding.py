@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trackline.operators import parse as R
 from trackline.operators import phrases as P
 from trackline.operators import targets as Y
 from trackline.sources import bindings as B
@@ -68,6 +69,36 @@ def targets_built(spark, d):
     return r.select("fact_id", "confidence", "model_confidence", "classification_confidence", "place_id", "kind", *rounded, "direction_kind", "direction_confidence")
 
 
+def _word_of(name: str):
+    """A name as one word."""
+    return F.lower(F.regexp_replace(name, r"[_\s]+", ""))
+
+
+def _dictionary(spark, d):
+    """Three aliases, and the nations as cities in their regions."""
+    aliases = spark.range(3).select(
+        F.get(F.array(*map(F.lit, ("шахед", "бпла", "балістик"))), F.col("id").cast("int")).alias("alias"), F.get(F.array(*map(F.lit, ("SHAHED", "UAV", "BALLISTIC"))), F.col("id").cast("int")).alias("code"),
+        F.get(F.array(*map(F.lit, ("family", "category", "class"))), F.col("id").cast("int")).alias("level"), (F.col("id") / 2).cast("long").alias("category_id"), *[F.lit(None).cast("long").alias(c) for c in ("class_id", "family_id", "model_id")], F.lit(2).alias("confidence"),
+        F.lit("*").alias("lang"), F.lit(None).cast("long").alias("source_id"), F.lit(False).alias("exact"), F.lit(10).alias("priority"),
+    )
+    region = F.col("parent_id").isNull()
+    places = B.places(spark, d).select(F.col("place_id").cast("long").alias("place_id"), _word_of("name").alias("name"), F.array(_word_of("name")).alias("stems"), F.when(region, "region").otherwise("city").alias("level"), F.col("parent_id").cast("long").alias("parent_id"), F.coalesce("parent_id", "place_id").cast("long").alias("region_id"), F.lit(90_000).cast("long").alias("population"))
+    return aliases, places
+
+
+def parsed_messages(spark, d):
+    """Facts put into words, by templates, and read again: sightings with courses, origins, headings, bare targets, all-clears."""
+    i, p = F.col("fact_id"), B.places(spark, d)
+    own, dest, region = (p.select(F.col("place_id").alias(f"{n}_id"), _word_of("name").alias(n), *([F.col("parent_id").alias("up")] if n == "own" else [])) for n in ("own", "dest", "region"))
+    f = B.facts(spark, d).select("fact_id", "k", F.col("place_id").alias("own_id"), "dest_id").join(own, "own_id").join(dest, "dest_id").join(region, F.col("up") == F.col("region_id"))
+    said = lambda *parts: F.concat(*[F.lit(x) if x not in ("own", "dest", "region") else F.col(x) for x in parts])
+    text = F.when(i % 6 == 0, F.concat((F.col("k") % 9 + 1).cast("string"), said(" шахеди курсом на ", "dest"))).when(i % 6 == 1, said("БпЛА з ", "own", " на ", "dest")).when(i % 6 == 2, said("Балістика!\n", "own", " - в укриття"))
+    text = text.when(i % 6 == 3, said("region", ":\nшахеди біля ", "own", "\nБпЛА летить")).when(i % 6 == 4, F.lit("Відбій повітряної тривоги")).otherwise(F.lit("Просто новини"))
+    messages = f.select(i.alias("message"), F.lit(1).cast("long").alias("source_id"), F.lit(None).cast("long").alias("home"), text.alias("text"))
+    r = R.facts(messages, *_dictionary(spark, d))
+    return r.select(F.col("message").alias("fact_id"), F.col("segment").cast("int").alias("segment"), "event", F.col("target.code").alias("code"), F.col("count").alias("n"), F.col("current.place_id").alias("place"), F.col("origin.place_id").alias("origin"), F.col("destination.place_id").alias("destination"), "inherited", "in_section")
+
+
 _F, _P = B.FACTS_SQL, B.PLACES_SQL
 _LIST = ", ".join(f"'{w}'" for w in WORDS)
 _TOKENS = f"""tok AS (SELECT fact_id, j, [{_LIST}][CAST((fact_id * (j * 7 + 3) + j * j * 5 + fact_id // 7) % {len(WORDS)} AS INTEGER) + 1] AS w FROM facts, (SELECT CAST(unnest(range({LENGTH})) AS BIGINT) AS j))"""
@@ -88,6 +119,13 @@ SQL = {
       f AS (SELECT fact_id, fact_id % 2 = 0 AS target, level, bool_or(starts_with(w, 'пуск')) AS launch FROM tok LEFT JOIN lev USING (fact_id) GROUP BY 1, 2, 3),
       g AS (SELECT f.fact_id, f.target, f.level, f.launch, min(n) FILTER (NOT (f.target AND f.level IS NULL AND event = 'air_raid_alert')) AS n FROM f LEFT JOIN hits USING (fact_id) GROUP BY 1, 2, 3, 4)
       SELECT fact_id, coalesce(event, CASE WHEN target THEN 'target_observed' ELSE 'unknown' END) AS event, rule, launch, level FROM g LEFT JOIN rules USING (n)""",
+    "parsed_messages": f"""WITH {_F}, {_P}, f AS (SELECT fact_id AS i, k, place_id::BIGINT AS own, dest_id::BIGINT AS dest, parent_id::BIGINT AS region FROM facts JOIN places USING (place_id))
+      SELECT i AS fact_id, 0 AS segment, 'target_observed' AS event, 'SHAHED' AS code, CAST(k % 9 + 1 AS INTEGER) AS n, NULL::BIGINT AS place, NULL::BIGINT AS origin, dest AS destination, NULL::VARCHAR AS inherited, false AS in_section FROM f WHERE i % 6 = 0
+      UNION ALL SELECT i, 0, 'target_observed', 'UAV', NULL, NULL, own, dest, NULL, false FROM f WHERE i % 6 = 1
+      UNION ALL SELECT i, 1, 'target_observed', 'BALLISTIC', NULL, own, NULL, NULL, 'carry', false FROM f WHERE i % 6 = 2
+      UNION ALL SELECT i, 1, 'target_observed', 'SHAHED', NULL, own, NULL, NULL, NULL, false FROM f WHERE i % 6 = 3
+      UNION ALL SELECT i, 2, 'target_observed', 'UAV', NULL, region, NULL, NULL, NULL, true FROM f WHERE i % 6 = 3
+      UNION ALL SELECT i, 0, 'alert_cancelled', NULL, NULL, NULL, NULL, NULL, NULL, false FROM f WHERE i % 6 = 4""",
     "mentions_kept": """WITH m AS (SELECT l_orderkey, l_linenumber AS start, l_partkey % 5 AS code, l_partkey % 5 % 4 AS level, l_suppkey % 2 AS cat, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey % 3 END AS class FROM lineitem),
       k AS (SELECT *, NOT EXISTS (SELECT 1 FROM m b WHERE b.l_orderkey = m.l_orderkey AND ((b.code = m.code AND b.start < m.start) OR (b.cat = m.cat AND m.level < b.level AND (m.class IS NULL OR m.class = b.class)))) AS kept FROM m)
       SELECT l_orderkey, count(*) AS mentions, coalesce(string_agg(CAST(start AS VARCHAR), ',' ORDER BY start) FILTER (kept), '') AS kept FROM k GROUP BY 1""",
