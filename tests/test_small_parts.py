@@ -80,3 +80,25 @@ def test_names_of_communities(spark):
     assert [r.k for r in df.select(T.admin_key(F.col("n")).alias("k")).collect()] == list(names.values())
     variants = {r.n: set(r.v) for r in df.sparkSession.createDataFrame([("Чернігів",), ("Київ",), ("Біла Церква",), ("Подільський",)], "n string").select("n", T.name_variants(F.col("n")).alias("v")).collect()}
     assert "чернігов" in variants["Чернігів"] and "києв" in variants["Київ"] and "біла церкв" in variants["Біла Церква"] and "поділь" in variants["Подільський"]
+
+
+def test_signs_and_token_spans(spark):
+    texts = {"🛵🛵 ➡️ Суми": "шахед шахед курсом на суми", "🟢Відбій ✈️!": "відбій відбій авіація !", "↗️ ракета 🟡": "у північно-східному напрямку ракета", "plain text": "plain text"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [" ".join(r.c.split()) for r in df.select(T.clean(F.col("t")).alias("c")).collect()] == list(texts.values())
+    lines = ["х-101/555 летить, летить на ле-ле.", "", "  a b  a.b-c' d", None, "ёж — їжак"]
+    rows = spark.createDataFrame([(t,) for t in lines], "t string").select("t", T.token_spans(F.col("t")).alias("s"), T.tokens(F.col("t")).alias("k")).collect()
+    for r in rows:
+        assert (r.s is None) == (r.t is None)
+        if r.t is not None:
+            assert [x.token for x in r.s] == r.k and all(r.t[x.start : x.end] == x.token for x in r.s) and all(a.end <= b.start for a, b in zip(r.s, r.s[1:]))
+
+
+def test_relatives_on_a_map(spark):
+    from trackline.operators import fixes
+
+    links = [(1, 2, 10 + i, 0.5 - i / 10) for i in range(5)] + [(1, 10, 20 + i, 0.2 - i / 100) for i in range(4)] + [(1, 20, 30, 0.19), (1, 14, 40, 0.9), (1, 2, 50, 0.01), (1, 2, 10, 0.5), (2, 10, 60, 0.5)]
+    df = spark.createDataFrame(links, "head int, from_id int, to_id int, path double")
+    ancestors = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "head int, fact_id int")
+    got = {(r.head, r.from_id, r.to_id, r.off_ancestor) for r in fixes.relatives_shown(df, ancestors).collect()}
+    assert got == {(1, 2, 10, True), (1, 2, 11, True), (1, 2, 12, True), (1, 10, 20, False), (1, 10, 21, False), (1, 10, 22, False)}

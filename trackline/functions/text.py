@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 # Footer words, and the letters that tell the three languages apart.
 FOOTER = r"підпис|подпис|subscribe"
 UK_ONLY, RU_ONLY = "іїєґ", "ыэёъ"
+# Signs of monitoring channels and the words that they stand for; longer signs before their parts.
+SIGNS = {
+    "🛵": "шахед", "🚀": "ракета", "✈️": "авіація", "✈": "авіація", "🛩️": "авіація", "🛩": "авіація", "🚁": "гелікоптер", "💥": "вибух", "🔴": "тривога", "🟢": "відбій", "🟡": "", "🚨": "тривога",
+    "⚠️": "", "⚠": "", "❗": "", "❗️": "", "‼️": "", "🎯": "", "📍": "", "➡️": "курсом на", "➡": "курсом на", "→": "курсом на", "⬆️": "у північному напрямку", "⬇️": "у південному напрямку", "⬅️": "у західному напрямку",
+    "↗️": "у північно-східному напрямку", "↘️": "у південно-східному напрямку", "↙️": "у південно-західному напрямку", "↖️": "у північно-західному напрямку",
+}
 
 
 def nfc(text: Column) -> Column:
@@ -130,9 +136,11 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """Message text for matching: links and marks gone, quotes, dashes and apostrophes folded, lower case, ё as е."""
+    """Message text for matching: links and marks gone, signs as words, quotes, dashes and apostrophes folded, lower case, ё as е."""
     t = F.regexp_replace(nfc(F.coalesce(text, F.lit(""))), r"\[([^\]]*)\]\([^)]*\)", "$1")
     t = F.regexp_replace(t, r"(https?://|www\.|t\.me/)\S+", " ")
+    for sign, word in SIGNS.items():
+        t = F.replace(t, F.lit(sign), F.lit(f" {word} "))
     t = F.translate(F.lower(t), "ё«»“”„’ʼ`—–−", "е\"\"\"\"\"'''---")
     return F.regexp_replace(t, r"[^\p{L}\p{N}\n.,!?;:'\"/+%°()-]+", " ")
 
@@ -154,6 +162,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:[-'/.][\p{L}\p{N}]+)*"), F.lit(0))
 
 
+def token_spans(text: Column) -> Column:
+    """Array of struct(token, start, end): the tokens of a text and where they stand, in characters from 0, end excluded."""
+    none = F.array().cast("array<struct<token:string,start:int,end:int>>")
+    state = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+
+    def place(s: Column, token: Column) -> Column:
+        start = F.position(token, text, s["at"] + 1) - 1  # between two tokens stands nothing that could begin one
+        end = start + F.length(token)
+        return F.struct(end.alias("at"), F.concat(s["spans"], F.array(F.struct(token.alias("token"), start.alias("start"), end.alias("end")))).alias("spans"))
+
+    return F.aggregate(tokens(text), state, place, lambda s: s["spans"])
+
+
 def language(text: Column) -> Column:
     """uk, ru or en by the letters only one of them has; Ukrainian where nothing decides."""
     t = F.lower(F.coalesce(text, F.lit("")))

@@ -160,7 +160,7 @@ def recent_per_place(facts: DataFrame, since: Column, until: Column) -> DataFram
 def shares(counts: DataFrame, key: str, value: str) -> DataFrame:
     """Each key's part of the whole, of a histogram with few keys."""
     summed = counts.groupBy(key).agg(F.sum(value).alias(value))
-    return summed.withColumn("share", F.col(value) / F.sum(value).over(Window.partitionBy(F.lit(1))))
+    return summed.withColumn("share", F.col(value) / summed.agg(F.sum(value).alias("all")).scalar())
 
 
 def report_buckets(now: datetime, span: str) -> tuple[datetime, datetime, str]:

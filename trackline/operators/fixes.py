@@ -82,3 +82,19 @@ def fan_out(edges: DataFrame, most: int, least_path: float = 0.02) -> DataFrame:
     """What a map shows of a walk (head, fact_id, via, path): the ``most`` likeliest facts behind each (head, via)."""
     order = Window.partitionBy("head", "via").orderBy(F.desc("path"), "fact_id")
     return edges.filter(F.col("path") >= least_path).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def relatives_shown(relatives: DataFrame, ancestors: DataFrame, per_node: int = 3, least_path: float = 0.02) -> DataFrame:
+    """What a map shows of where else a head's ancestors could have gone: ``per_node`` links off each ancestor, likeliest first,
+    and as many off each relative found so (``off_ancestor`` tells which), and nothing further.
+
+    ``relatives``: head, from_id, to_id, path; ``ancestors``: head, fact_id, the head itself included.
+    """
+    likely = relatives.filter(F.col("path") >= least_path).dropDuplicates(["head", "from_id", "to_id"])
+    order = Window.partitionBy("head", "from_id").orderBy(F.desc("path"), "to_id")
+    capped = lambda rows: rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_node).drop("place")
+    of = ancestors.select("head", F.col("fact_id").alias("from_id")).distinct()
+    first = capped(likely.join(of, ["head", "from_id"], "left_semi"))
+    found = first.select("head", F.col("to_id").alias("from_id")).distinct()
+    second = capped(likely.join(of, ["head", "from_id"], "left_anti").join(found, ["head", "from_id"], "left_semi"))
+    return first.withColumn("off_ancestor", F.lit(True)).unionByName(second.withColumn("off_ancestor", F.lit(False)))
