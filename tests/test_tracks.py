@@ -123,3 +123,19 @@ def test_text_alerts_equal_one_pass(spark):
                 mine[0][4] = level
         want += [(a[0], a[1], a[2], a[2] + limit if a[3] is None else min(a[3], a[2] + limit), a[4]) for a in held]
     assert got == sorted(map(str, want)) and len(want) > 100
+
+
+def test_two_key_insert_equals_one_pass(spark):
+    import random
+
+    draw = random.Random(8)
+    rows = [(i, f"k{draw.randint(0, 120)}", f"h{draw.randint(0, 120)}") for i in range(400)] + [(500 + i, f"x{i}", f"y{i}") for i in range(20)]
+    keys, hashes, want = set(), set(), []
+    for i, k, h in rows:
+        if k not in keys and h not in hashes:
+            keys.add(k)
+            hashes.add(h)
+            want.append(i)
+    df = spark.createDataFrame(draw.sample(rows, len(rows)), "arrival long, key string, hash string")
+    assert sorted(r.arrival for r in dedup.idempotent(df).collect()) == want and 40 < len(want) < 200
+    assert dedup.idempotent(df.limit(0)).count() == 0

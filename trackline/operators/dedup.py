@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ def idempotent(arrivals: DataFrame, stored: DataFrame | None = None) -> DataFram
 
     ``arrivals``: arrival (order), key, hash, ... ``stored``: key, hash of rows already in. A row is refused if its key or
     hash is taken; a refused row takes neither. So one pass in order is needed, but only inside groups of rows that are
-    linked by shared keys or hashes. Rows that share nothing skip it, and equal (key, hash) rows meet as their first.
+    linked by shared keys or hashes. Rows that share nothing skip it, and equal (key, hash) rows meet as their first. A group
+    passes through its task as a sorted stream; what is held is its keys and hashes taken so far.
     """
     if stored is not None:
         arrivals = arrivals.join(stored.select("key").distinct(), "key", "left_anti").join(stored.select("hash").distinct(), "hash", "left_anti")
@@ -32,17 +35,21 @@ def idempotent(arrivals: DataFrame, stored: DataFrame | None = None) -> DataFram
     by_hash = first.groupBy("hash").agg(F.min("arrival").alias("b"), F.count("*").alias("n")).filter("n > 1").join(first, "hash").select(F.col("arrival").alias("a"), "b")
     groups = connected(by_key.unionByName(by_hash))
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, hashes, out = set(), set(), []
-        for r in rows.sort_values("arrival").itertuples():
-            if r.key not in keys and r.hash not in hashes:
-                keys.add(r.key)
-                hashes.add(r.hash)
-                out.append(r.arrival)
-        return pd.DataFrame({"arrival": out})
-
-    linked = first.join(groups, F.col("arrival") == F.col("node"))
-    kept = linked.groupBy("comp").applyInPandas(keep, "arrival long")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp, keys, hashes = None, set(), set()
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["comp"] != comp:
+                    comp, keys, hashes = r["comp"], set(), set()
+                if r["key"] not in keys and r["hash"] not in hashes:
+                    keys.add(r["key"])
+                    hashes.add(r["hash"])
+                    out.append(r["arrival"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["arrival"])
+
+    linked = first.join(groups, F.col("arrival") == F.col("node")).select("comp", F.col("arrival").cast("long").alias("arrival"), "key", "hash")
+    kept = linked.repartition("comp").sortWithinPartitions("comp", "arrival").mapInArrow(keep, "arrival long")
     alone = first.join(groups, F.col("arrival") == F.col("node"), "left_anti").select("arrival")
     return arrivals.join(kept.unionByName(alone), "arrival", "left_semi")
 
