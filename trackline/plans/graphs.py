@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trackline.functions import calendar as C
 from trackline.operators import copies, dedup, links, ratings
 from trackline.operators import snapshot as N
 from trackline.sources import bindings as B
