@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,8 +60,8 @@ def fold(doc_id: Column, parts: int) -> Column:
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows with about ``max_bytes`` of text, so that working arrays stay small.
 
-    Rows are never cut: one row longer than the limit is a run of its own. After each batch Arrow's free memory goes back,
-    as a worker that keeps it stands beside the executor's own heap.
+    Rows are never cut: one row longer than the limit is a run of its own. After each batch free memory goes back to the
+    system, as a worker that keeps it stands beside the executor's own heap.
     """
     for batch in batches:
         if batch.num_rows == 0:
@@ -71,7 +72,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_byt
         starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         for start, end in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
             yield batch.slice(start, end - start)
-        pa.default_memory_pool().release_unused()
+        release()
+
+
+def release() -> None:
+    """Give free memory of Arrow and of the C library back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

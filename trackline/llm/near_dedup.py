@@ -179,7 +179,7 @@ def sketches(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in text_slices(batches, max_bytes=1_500_000):
+        for batch in text_slices(batches, max_bytes=750_000):
             texts = batch.column(1).to_pylist()
             grams, edges = weighted_grams(texts, rule.gram, hashes)
             sig = signatures(grams, edges, rule.registers)
@@ -208,7 +208,7 @@ def _packed(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in text_slices(batches, max_bytes=1_500_000):
+        for batch in text_slices(batches, max_bytes=750_000):
             grams = [g.tobytes() for g in wide_grams(batch.column(1).to_pylist(), rule.gram, hashes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["node", "grams"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from trackline.llm.common import mix64, text_slices
 from trackline.llm.lattice import LITERAL_MARK, Lattice, Units, Vocabulary, vocabulary
 
-SLICE_CHARS = 500_000  # of text worked on at once; its lattice takes about 200 bytes a character
+SLICE_CHARS = 250_000  # of text worked on at once; its lattice takes about 200 bytes a character
 SEED = 42
 
 

@@ -212,7 +212,7 @@ def _word_counts(labelled: DataFrame) -> DataFrame:
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([v[k] - (1 << 64) * (v[k] >> 63) for v in total.values()], pa.int64()) for k in range(3))], names=["word", "toxic", "clean", "around"])
 
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, max_bytes=1_000_000):
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = WORD.findall(text.lower())
                 seen = set()
