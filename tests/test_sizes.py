@@ -1,10 +1,12 @@
 """Faults that showed on larger tables only."""
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from trackline.operators import stats
+from trackline.operators import copies, stats
+from trackline.plans import analytics, graphs
 
 T0 = datetime(2024, 1, 1)
 
@@ -16,3 +18,22 @@ def test_silence_counts_to_the_microsecond(spark):
     last = spark.createDataFrame([(i, now - s) for i, s in silent.items() if s], "source_id long, last_at timestamp_ntz")
     got = {r.source_id: r.state for r in stats.health(sources, last, F.expr("timestamp_ntz'2024-01-31 00:00:00'"), 7200.0).collect()}
     assert got == {1: "ok", 2: "stale", 3: "ok", 4: "idle"}
+
+
+def test_earliest_told_against_all_pairs(spark):
+    rng, hour = random.Random(3), timedelta(hours=1)
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, None]), rng.choice(["a", "b", None]), T0 + timedelta(hours=rng.choice([0, 23, 24, 25]), minutes=15 * rng.randrange(8), microseconds=rng.choice([0, 0, 1])), rng.randrange(9)) for i in range(400)]
+    rows += rows[:40]
+    want = {}
+    for i, s, k, at, n in rows:
+        fits = [(t, j, z, m) for j, z, q, t, m in rows if k is not None and q == k and s is not None and z is not None and z != s and at - hour <= t < at]
+        if fits:
+            want[i, s, at, n] = min(fits)
+    facts = spark.createDataFrame(rows, "fact_id long, source_id long, kind string, observed_at timestamp_ntz, n int")
+    got = {(r.copy, r.copy_source, r.copy_at, r.n): tuple(r.x) for r in copies.earliest_told(facts, ["kind"], ["n"]).collect()}
+    assert got == want and len(want) > 150
+
+
+def test_copies_of_facts_meet_without_pairs(spark):
+    for rows in (analytics._pairs(spark, "/root/testdata/sf0.001"), graphs.copies_with_ids(spark, "/root/testdata/sf0.001")):
+        assert "Join" not in rows._jdf.queryExecution().toString()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from trackline.functions import calendar as C
 from trackline.operators import analytics as R
 from trackline.operators import intervals as I
-from trackline.operators.copies import NEAR, VERBATIM
+from trackline.operators.copies import NEAR, VERBATIM, earliest_told
 from trackline.plans.stats import LOCAL, STAMP
 from trackline.plans.timelines import _A
 from trackline.sources import bindings as B
@@ -26,17 +26,9 @@ def _day(df):
 
 
 def _pairs(spark, d):
-    """Copies of facts as pairs: the earliest fact of another source with the place and category within the hour before.
-
-    Only the earliest fact of each source and slot can be an original, so a slot meets itself once per source.
-    """
-    f = B.facts(spark, d)
-    slot = F.floor(F.unix_micros(F.col("observed_at").cast("timestamp")) / 3_600_000_000)
-    early = f.select("place_id", "category", F.col("fact_id").alias("original"), F.col("source_id").alias("original_source"), F.col("observed_at").alias("original_at"), F.col("object_count").alias("n"), F.explode(F.array(slot, slot + 1)).alias("slot"))
-    late = f.select("place_id", "category", F.col("fact_id").alias("copy"), F.col("source_id").alias("copy_source"), F.col("observed_at").alias("copy_at"), "object_count", slot.alias("slot"))
-    met = late.join(early, ["place_id", "category", "slot"]).filter("original_at < copy_at and original_at >= copy_at - interval 1 hour and copy_source <> original_source")
-    first = met.groupBy("copy", "copy_source", "copy_at", "object_count").agg(F.min(F.struct("original_at", "original", "original_source", "n")).alias("x"))
-    kind = F.when(F.col("object_count") == F.col("x.n"), VERBATIM).otherwise(NEAR)
+    """Copies of facts as pairs: the earliest fact of another source with the place and category within the hour before."""
+    first = earliest_told(B.facts(spark, d), ["place_id", "category"], ["object_count"])
+    kind = F.when(F.col("object_count") == F.col("x.object_count"), VERBATIM).otherwise(NEAR)
     return first.select("copy", "copy_source", "copy_at", "x.original", "x.original_source", "x.original_at", kind.alias("kind"), F.timestamp_diff("SECOND", F.col("x.original_at"), F.col("copy_at")).cast("double").alias("delay_s"), F.lit(True).alias("is_primary"))
 
 

@@ -32,11 +32,8 @@ def fact_repeats(spark, d):
 
 def copies_with_ids(spark, d):
     """Each repeated fact with the earliest fact of another source that it repeats."""
-    f = B.facts(spark, d)
-    later, early = f.select("place_id", "category", F.col("source_id").alias("copy_source"), F.col("observed_at").alias("copy_at"), "fact_id"), f.select("place_id", "category", F.col("source_id").alias("original_source"), F.col("observed_at").alias("original_at"), F.col("fact_id").alias("o"))
-    slot = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 3600)
-    pairs = later.withColumn("slot", slot("copy_at")).join(early.withColumn("slot", F.explode(F.array(slot("original_at"), slot("original_at") + 1))), ["place_id", "category", "slot"])
-    return pairs.filter("original_at < copy_at and original_at >= copy_at - interval 1 hour and copy_source <> original_source").groupBy("fact_id", "copy_source", "copy_at").agg(F.min(F.struct("original_at", "o", "original_source")).alias("x")).select("fact_id", "copy_source", "copy_at", "x.*")
+    r = copies.earliest_told(B.facts(spark, d), ["place_id", "category"], [])
+    return r.select(F.col("copy").alias("fact_id"), "copy_source", "copy_at", "x.original_at", F.col("x.original").alias("o"), "x.original_source")
 
 
 def _copies_of_facts(spark, d):
