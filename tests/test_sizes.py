@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from trackline.operators import copies, stats
+from trackline.operators import copies, links, stats
 from trackline.plans import analytics, graphs
 
 T0 = datetime(2024, 1, 1)
@@ -37,3 +37,22 @@ def test_earliest_told_against_all_pairs(spark):
 def test_copies_of_facts_meet_without_pairs(spark):
     for rows in (analytics._pairs(spark, "/root/testdata/sf0.001"), graphs.copies_with_ids(spark, "/root/testdata/sf0.001")):
         assert "Join" not in rows._jdf.queryExecution().toString()
+
+
+LINKABLE = "fact_id long, raw_message_id long, category string, observed_at timestamp_ntz, win_min int, v_max double, v_cruise double, lon double, lat double, slack_km double, direction_deg double, place_id int, dest_id int, model_id int, family_id int, class_id int"
+
+
+def test_links_meet_near_facts_only(spark):
+    rng = random.Random(8)
+    rows = [(i, i, rng.choice(["uav", "jet"]), T0 + timedelta(minutes=rng.uniform(0, 90)), rng.choice([15, 30]), rng.choice([200.0, 600.0, None]), 175.0, rng.choice([179.9, -179.9, 30.0]) + rng.uniform(-3, 3), rng.choice([0.0, 60.0]) + rng.uniform(-2, 2), rng.choice([5.0, 40.0]), rng.choice([None, 90.0]), rng.randrange(20), None, None, None, 1) for i in range(200)]
+    rows = [(*r[:7], (r[7] + 180) % 360 - 180, *r[8:]) for r in rows]
+    for some in (rows, [r for r in rows if r[5] is not None]):
+        facts = spark.createDataFrame(some, LINKABLE)
+        n, c = facts.select(F.struct(*facts.columns).alias("n")), facts.select(F.struct(*facts.columns).alias("c"))
+        dt = F.timestamp_diff("MICROSECOND", F.col("c.observed_at"), F.col("n.observed_at")) / 60e6
+        every = n.crossJoin(c).withColumn("dt", dt).filter("n.category = c.category and n.fact_id <> c.fact_id and dt > 0 and dt <= n.win_min")
+        want = {(r.from_id, r.to_id): r.weight for r in links.weighted(every).collect()}
+        got = {(r.from_id, r.to_id): r.weight for r in links.weighted(links.candidate_pairs(facts, 120)).collect()}
+        assert got == want and len(want) > 50
+    far = [(i, i, "uav", T0 + timedelta(seconds=i), 30, 200.0, 175.0, 5.0 * (i % 60), 10.0 * (i // 60), 10.0, None, i, None, None, None, 1) for i in range(240)]
+    assert links.candidate_pairs(spark.createDataFrame(far, LINKABLE), 120).count() == 0

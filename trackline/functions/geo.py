@@ -24,6 +24,12 @@ def bearing_deg(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return F.pmod(angle + 360, F.lit(360.0))
 
 
+def cube(lon: Column, lat: Column, size: Column) -> list[Column]:
+    """The cell of a point of the sphere in a grid of cubes."""
+    x, y = F.radians(lon), F.radians(lat)
+    return [F.floor(RADIUS_KM * v / size).alias(n) for n, v in (("cx", F.cos(y) * F.cos(x)), ("cy", F.cos(y) * F.sin(x)), ("cz", F.sin(y)))]
+
+
 def offset(lon: Column, lat: Column, bearing: Column, km: Column) -> Column:
     """struct(lon, lat) of the point at a bearing and distance."""
     a, b, r = F.radians(lat), F.radians(bearing), km / RADIUS_KM

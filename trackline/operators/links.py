@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackline.functions import geo as G
+from trackline.operators.components import connected
 from trackline.operators.slices import RUN, passed, slot
 
 
@@ -28,18 +29,52 @@ class Rule:
     exhausted: float = 0.05
 
 
-def candidate_pairs(facts: DataFrame, window_min: float) -> DataFrame:
-    """Pairs (c, n) of one category and different messages, c earlier by at most its successor's window.
+#: What holds all pairs of a successor together, and so keeps them where they met.
+HELD = ["category", "near", "slot"]
 
-    ``facts``: fact_id, raw_message_id, category, observed_at, win_min, v_max, v_cruise, ... Joined on category and a time
-    slot as wide as the longest window; the earlier side also stands in the next slot.
+
+def _near_cells(facts: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """``facts`` with their ``cell``, and the pairs (category, near, cell) of occupied cells whose facts a link may join.
+
+    A link has a weight only over a gap that its successor covers by its window's end. Cells are cubes as wide as the
+    farthest such reach of the category with the slack of both ends; of neighbours, those stay whose boxes of longitude and latitude are as near
+    as that. What lacks a speed or a slack reaches everywhere.
+    """
+    end, everywhere = F.coalesce("slack_km", F.lit(2 * G.RADIUS_KM)), F.lit(4 * G.RADIUS_KM)
+    reach = F.coalesce(F.when(F.col("v_max") > 0, F.greatest(F.lit(0.0), (F.col("win_min") + rule.late_min) / 60 * F.col("v_max"))), everywhere)
+    size = facts.groupBy("category").agg((F.max(reach) + 2 * F.greatest(F.lit(0.0), F.max(end)) + 1).alias("__reach"))
+    placed = facts.filter("lon is not null and lat is not null").join(F.broadcast(size), "category").withColumn("__cell", F.struct(*G.cube(F.col("lon"), F.col("lat"), F.col("__reach"))))
+    bounds = [f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for f, n in ((F.min, "low"), (F.max, "high"))]
+    cells = placed.groupBy("category", F.col("__cell").alias("cell")).agg(F.first("__reach").alias("reach"), *bounds)
+    step, around = F.array(*[F.lit(i) for i in (-1, 0, 1)]), cells.select("category", "cell", *[F.struct(*[c for c in cells.columns if c != "category"]).alias("b")], "cell.*")
+    for c in ("cx", "cy", "cz"):
+        around = around.withColumn("__d", F.explode(step)).withColumn(c, F.col(c) + F.col("__d")).drop("__d")
+    around = around.select("category", F.struct("cx", "cy", "cz").alias("cell"), F.col("b").alias("a"))
+    met = around.join(cells.select("category", "cell", F.struct(*[c for c in cells.columns if c != "category"]).alias("b")), ["category", "cell"])
+    apart = lambda c: F.greatest(F.lit(0.0), F.col(f"a.low_{c}") - F.col(f"b.high_{c}"), F.col(f"b.low_{c}") - F.col(f"a.high_{c}"))
+    turn = F.least(apart("lon"), F.greatest(F.lit(0.0), 360 - (F.greatest("a.high_lon", "b.high_lon") - F.least("a.low_lon", "b.low_lon"))))
+    narrow = F.least(*[F.cos(F.radians(f"{x}.{n}_lat")) for x in ("a", "b") for n in ("low", "high")])
+    chord = F.pow(F.sin(F.radians(apart("lat")) / 2), 2) + F.pow(narrow, 2) * F.pow(F.sin(F.radians(turn) / 2), 2)
+    near = met.filter(2 * G.RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(chord))) <= F.col("a.reach"))
+    return placed.drop("__reach"), near.select("category", F.col("a.cell").alias("__cell"), F.col("b.cell").alias("near"))
+
+
+def candidate_pairs(facts: DataFrame, window_min: float, rule: Rule = Rule()) -> DataFrame:
+    """Pairs (c, n) of one category and different messages, c earlier by at most its successor's window and near enough to
+    be linked; ``category, near, slot``, the successor's cell and slot, hold all pairs of a successor.
+
+    ``facts``: fact_id, raw_message_id, category, observed_at, win_min, v_max, v_cruise, ... Joined on category, a cell of space
+    (:func:`_near_cells`) and a time slot as wide as the longest window in use; the earlier side also stands in the next slot and in the cells around.
     """
+    widest = facts.agg(F.max("win_min")).first()[0] or window_min
+    window_min = min(widest, window_min) if widest > 0 else window_min
     slot = F.floor(F.unix_seconds(F.col("observed_at").cast("timestamp")) / (window_min * 60))
     row = F.struct(*facts.columns)
-    later = facts.select("category", slot.alias("slot"), row.alias("n"))
-    earlier = facts.select("category", F.explode(F.array(slot, slot + 1)).alias("slot"), row.alias("c"))
+    placed, near = _near_cells(facts, rule)
+    later = placed.select("category", F.col("__cell").alias("near"), slot.alias("slot"), row.alias("n"))
+    earlier = placed.join(near, ["category", "__cell"]).select("category", "near", F.explode(F.array(slot, slot + 1)).alias("slot"), row.alias("c"))
     minutes = F.timestamp_diff("MICROSECOND", F.col("c.observed_at"), F.col("n.observed_at")) / 60e6
-    pairs = later.join(earlier, ["category", "slot"]).withColumn("dt", minutes)
+    pairs = later.join(earlier, ["category", "near", "slot"]).withColumn("dt", minutes)
     return pairs.filter((F.col("dt") > 0) & (F.col("dt") <= F.col("n.win_min")) & (F.col("c.raw_message_id") != F.col("n.raw_message_id")))
 
 
@@ -68,28 +103,35 @@ def weighted(pairs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     time = F.when(F.col("dt") + rule.late_min < F.col("gap") / F.col("n.v_max") * 60 + turn, 0.0).when(over <= 0, 1.0).otherwise(F.exp(-over / rule.fade_min))
     heading = F.when(F.col("gap") <= rule.overlap_km, 1.0).when(F.col("theta").isNull(), 0.6).otherwise(F.greatest(F.lit(0.05), (1 + F.cos(F.radians("theta"))) / 2))
     weight = time / (1 + F.col("km") / rule.prior_km) * heading * class_factor("n", "c")
-    return p.select(F.col("c.fact_id").alias("from_id"), F.col("n.fact_id").alias("to_id"), F.col("n.observed_at").alias("observed_at"), weight.alias("weight"), F.col("gap").alias("gap_km"), "dt", "theta", need.alias("need_min")).filter("weight > 0")
+    found = F.struct(F.col("c.fact_id").alias("from_id"), F.col("n.fact_id").alias("to_id"), F.col("n.observed_at").alias("observed_at"), weight.alias("weight"), F.col("gap").alias("gap_km"), "dt", "theta", need.alias("need_min"))
+    held = [c for c in HELD if c in pairs.columns]
+    return p.select(*held, F.explode(F.array(found)).alias("x")).select(*held, "x.*").filter("weight > 0")  # so the weight is not worked out again in the join's condition
 
 
 def select_top(weights: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """Per successor: weights that are large enough and near the best, the three highest, scaled down to a sum of one."""
-    w = Window.partitionBy("to_id")
-    good = weights.withColumn("__best", F.max("weight").over(w)).filter((F.col("weight") >= rule.least) & (F.col("weight") >= rule.of_best * F.col("__best")))
+    held = [c for c in HELD if c in weights.columns]
+    w = Window.partitionBy(*held, "to_id")
+    good = weights.filter(F.col("weight") >= rule.least).withColumn("__best", F.max("weight").over(w)).filter(F.col("weight") >= rule.of_best * F.col("__best"))
     top = good.withColumn("__i", F.row_number().over(w.orderBy(F.desc("weight"), "from_id"))).filter(F.col("__i") <= rule.most)
     total = top.withColumn("__sum", F.sum("weight").over(w))
-    return total.withColumn("probability", F.round(F.col("weight") / F.greatest(F.col("__sum"), F.lit(1.0)), 3)).drop("__best", "__i", "__sum")
+    return total.withColumn("probability", F.round(F.col("weight") / F.greatest(F.col("__sum"), F.lit(1.0)), 3)).drop("__best", "__i", "__sum", *held)
 
 
 def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> DataFrame:
     """Links of every fact to its likely predecessors, ``from_id, to_id, probability, gap_km, dt, theta, need_min``.
 
     What a predecessor has given to earlier successors lowers what is left for later ones, so the successors of a category
-    are passed in order, in slices as long as the window (``slices.passed``); a slice hands over what it took from whom.
+    are passed in order, in slices as long as the window (``slices.passed``), each group of cells that are near each other by
+    itself. A slice hands over what it took from those that the next one can still reach.
     """
     columns = ["from_id", "to_id", "probability", "gap_km", "dt", "theta", "need_min"]
-    widest = facts.agg(F.max("win_min")).first()[0] or window_min  # pairs meet in slots no wider than they need
-    pairs = weighted(candidate_pairs(facts, min(widest, window_min)), rule).filter(F.col("weight") >= rule.least)  # weights only fall
-    weights = pairs.join(facts.select(F.col("fact_id").alias("to_id"), F.col("category").alias("key")), "to_id")
+    node = lambda category, cell: F.xxhash64(category, cell)
+    pairs = weighted(candidate_pairs(facts, window_min, rule), rule).filter(F.col("weight") >= rule.least)  # weights only fall
+    near = _near_cells(facts, rule)[1].select("category", node("category", "__cell").alias("a"), node("category", "near").alias("b"))
+    groups = connected(near.select("a", "b"))
+    weights = pairs.withColumn("node", node("category", "near")).drop(*HELD).join(groups, "node").withColumnRenamed("comp", "key").drop("node")
+    widest = int(60e6 * (facts.agg(F.max("win_min")).first()[0] or window_min))
 
     def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         left = {(r.key, r.from_id): 1.0 - r.taken for r in given.itertuples()}
@@ -110,13 +152,15 @@ def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> Data
                 left[sources[a + i]] = round(max(0.0, rest[i] - p), 3)
                 kept.append(a + i)
                 shares.append(p)
-        return rows.iloc[kept].assign(probability=np.array(shares, float))[["key", *columns]]
+        return rows.iloc[kept].assign(probability=np.array(shares, float))[["key", *columns, "observed_at"]]
 
     def carry(out: DataFrame) -> DataFrame:
-        return out.groupBy(*RUN, "from_id").agg(F.least(F.lit(1.0), F.round(F.sum("probability"), 3)).alias("taken"))
+        told = F.unix_micros(F.col("observed_at").cast("timestamp")) - F.floor(F.col("dt") * 60e6)
+        late = told >= (F.col("slot") + 1) * int(window_min * 60e6) - widest - 1_000_000
+        return out.filter(late).groupBy(*RUN, "from_id").agg(F.least(F.lit(1.0), F.round(F.sum("probability"), 3)).alias("taken"))
 
     rows = weights.withColumn("slot", slot(F.col("observed_at"), window_min))
-    return passed(rows, step, "from_id long, to_id long, probability double, gap_km double, dt double, theta double, need_min double", carry).select(*columns)
+    return passed(rows, step, "from_id long, to_id long, probability double, gap_km double, dt double, theta double, need_min double, observed_at timestamp_ntz", carry).select(*columns)
 
 
 def with_duplicates(links: DataFrame, repeats: DataFrame) -> DataFrame:

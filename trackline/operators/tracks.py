@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from trackline.functions.geo import RADIUS_KM
+from trackline.functions.geo import RADIUS_KM, cube
 from trackline.operators.components import connected, written
 
 #: The columns of an event; those a table lacks are null. ``event``: observed (or null), cancelled. A cancellation needs
@@ -344,19 +344,13 @@ def events(facts: DataFrame) -> DataFrame:
     return facts.select(*[(F.col(f.name) if f.name in facts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def _spot(lon: Column, lat: Column, size: Column) -> list[Column]:
-    """The cell of a point of the sphere in a grid of cubes."""
-    x, y = F.radians(lon), F.radians(lat)
-    return [F.floor(RADIUS_KM * v / size).alias(n) for n, v in (("cx", F.cos(y) * F.cos(x)), ("cy", F.cos(y) * F.sin(x)), ("cz", F.sin(y)))]
-
-
 def components(rows: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``id, comp`` for ``rows`` (id, category, at, lon, lat, accuracy_km, speed_kmh): rows of a category within reach of each
     other, directly or by others, have one comp. Cells of one reach and their neighbours are linked."""
     limit = rows.groupBy("category").agg((F.greatest(F.max("speed_kmh"), F.lit(rule.speed_kmh)) * rule.reach_min / 60 + rule.slack_km + 2 * F.greatest(F.max("accuracy_km"), F.lit(2 * rule.anchor_km))).alias("size"))
     node = lambda x, y, z, s: F.xxhash64("category", x, y, z, s)
     slot = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (rule.reach_min * 60e6)).alias("slot")
-    placed = rows.join(limit, "category").select("id", "category", *_spot(F.col("lon"), F.col("lat"), F.col("size")), slot).withColumn("node", node("cx", "cy", "cz", "slot"))
+    placed = rows.join(limit, "category").select("id", "category", *cube(F.col("lon"), F.col("lat"), F.col("size")), slot).withColumn("node", node("cx", "cy", "cz", "slot"))
     placed = written(placed, "track-cells")
     cells = placed.select("category", "cx", "cy", "cz", "slot", "node").distinct()
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
