@@ -90,3 +90,23 @@ def test_components_of_chains_and_stars(spark):
     want = {n: min(group) for group in (names[:401], names[500:560], names[600:601], names[601:603]) for n in group}
     assert got == want
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pairs_are_counted_in_blocks_of_texts(spark, monkeypatch):
+    """Copies in many small blocks and across windows, against sets; shingles are not shipped with the pairs."""
+    words = X.split()
+    texts = [" ".join(words[: 12 + i % 9] + [f"tail{i % 4}"] * (i % 3)) for i in range(60)]
+    data = [(i, f"s{i % 7}", t, T0 + timedelta(minutes=23 * i)) for i, t in enumerate(texts)]
+    messages = spark.createDataFrame(data, "raw_message_id long, source string, text string, published_at timestamp_ntz")
+    prints = C.fingerprints(messages)
+    assert "shingles" not in prints.columns and "canonical" in prints.columns
+    pairs = C.candidates(prints)
+    sets = {r.raw_message_id: {r.canonical[i : i + 4] for i in range(len(r.canonical) - 3)} for r in prints.collect()}
+    likely = C._likely(prints, pairs, C.Rule())
+    want = sorted((r.copy, r.original, len(sets[r.copy] & sets[r.original])) for r in likely.collect())
+    assert len(want) > 50
+    for most in (1000, 3):
+        monkeypatch.setattr(C, "BLOCK_TEXTS", most)
+        assert sorted(map(tuple, C._with_shared(prints, likely, C.Rule()).collect())) == want
+    plan = C.verified(prints, pairs)._jdf.queryExecution().toString()
+    assert "array_intersect" not in plan

@@ -48,22 +48,24 @@ def shingles(text: Column, size: int = 4) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(runs)
 
 
+def hashed_runs(text: str | None, size: int = 4) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct character runs of a length; a shorter text is one run, an empty one has none."""
+    codes = np.frombuffer((text or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = max(len(codes) - size + 1, min(len(codes), 1))
+    h = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(min(size, len(codes))):
+            h = (h + codes[k : k + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
+
+
 def shingle_hashes(text: Column, size: int = 4) -> Column:
-    """Sorted 64-bit hashes of the distinct character runs of a length, made in batches; empty texts have none."""
+    """:func:`hashed_runs` of each text, made in batches."""
 
     @F.arrow_udf("array<long>")
     def hashed(values: pa.Array) -> pa.Array:
-        out = []
-        for v in values.to_pylist():
-            codes = np.frombuffer((v or "").encode("utf-32-le"), np.uint32).astype(np.uint64)
-            n = max(len(codes) - size + 1, min(len(codes), 1))
-            h = np.zeros(n, np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(min(size, len(codes))):
-                    h = (h + codes[k : k + n] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-            out.append(np.unique(h.view(np.int64)))
-        return pa.array(out, pa.list_(pa.int64()))
+        return pa.array([hashed_runs(v, size) for v in values.to_pylist()], pa.list_(pa.int64()))
 
     return hashed(text)
 
