@@ -56,3 +56,27 @@ def test_links_meet_near_facts_only(spark):
         assert got == want and len(want) > 50
     far = [(i, i, "uav", T0 + timedelta(seconds=i), 30, 200.0, 175.0, 5.0 * (i % 60), 10.0 * (i // 60), 10.0, None, i, None, None, None, 1) for i in range(240)]
     assert links.candidate_pairs(spark.createDataFrame(far, LINKABLE), 120).count() == 0
+
+
+def test_links_pass_facts_not_pairs(spark, monkeypatch):
+    """Against one pass in order over all weights; what goes into the slices is facts, at most twice each."""
+    rng, rule = random.Random(4), links.Rule()
+    rows = [(i, i // 2, rng.choice(["uav", "jet"]), T0 + timedelta(minutes=rng.choice([rng.uniform(0, 150), 60])), rng.choice([15, 30]), rng.choice([200.0, 600.0, None]), 175.0, 30.0 + rng.choice([0.0, 0.5, 1.0]), 50.0, rng.choice([5.0, 40.0, None]), rng.choice([None, 90.0]), rng.choice([None, 1, 2]), rng.choice([None, 1, 2]), rng.choice([None, 1, 2]), rng.choice([None, 1, 2]), rng.choice([None, 1, 2])) for i in range(250)]
+    facts = spark.createDataFrame(rows, LINKABLE)
+    by_successor = {}
+    for r in links.weighted(links.candidate_pairs(facts, 40)).filter(F.col("weight") >= rule.least).collect():
+        by_successor.setdefault((r.observed_at, r.to_id), []).append((r.from_id, r.weight))
+    left, want = {}, {}
+    for (_, n), found in sorted(by_successor.items()):
+        rest = {c: 0 if left.get(c, 1.0) <= rule.exhausted else left.get(c, 1.0) for c, _ in found}
+        weights = sorted((-w * rest[c], c) for c, w in found)
+        good = [(c, -w) for w, c in weights if -w >= rule.least and -w >= rule.of_best * -weights[0][0]][: rule.most]
+        scale = max(1.0, sum(w for _, w in good))
+        for c, w in good:
+            want[c, n] = int(w / scale * 1000 + 0.5) / 1000
+            left[c] = round(max(0.0, rest[c] - want[c, n]), 3)
+    seen, real = [], links.passed
+    monkeypatch.setattr(links, "passed", lambda rows, *a: (seen.append(rows.count()), real(rows, *a))[1])
+    monkeypatch.setattr(links, "PAIRS", 100)
+    assert {(r.from_id, r.to_id): r.probability for r in links.link(facts, 40).collect()} == want and len(want) > 200
+    assert seen[0] <= 2 * len(rows)

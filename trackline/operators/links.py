@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,49 +119,119 @@ def select_top(weights: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return total.withColumn("probability", F.round(F.col("weight") / F.greatest(F.col("__sum"), F.lit(1.0)), 3)).drop("__best", "__i", "__sum", *held)
 
 
+def _weigh(n: dict[str, np.ndarray], c: dict[str, np.ndarray], dt: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
+    """``weight, gap_km, theta, need_min`` of pairs as in :func:`weighted`, from the columns of successors and predecessors; unknown is NaN."""
+    x, y, u, v = (np.radians(f[k]) for f, k in ((c, "lon"), (c, "lat"), (n, "lon"), (n, "lat")))
+    h = np.sin((v - y) / 2) ** 2 + np.cos(y) * np.cos(v) * np.sin((u - x) / 2) ** 2
+    km = 2 * G.RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+    gap = np.fmax(0.0, km - c["slack_km"] - n["slack_km"])
+    turned = np.degrees(np.arctan2(np.sin(u - x) * np.cos(v), np.cos(y) * np.sin(v) - np.sin(y) * np.cos(v) * np.cos(u - x)))
+    course = np.abs(np.mod(np.mod(turned + 360, 360.0) - c["direction_deg"] + 540, 360.0) - 180)
+    theta = np.where(gap > rule.overlap_km, course, np.nan)
+    turn = np.nan_to_num(theta) / 180 * rule.turn_min
+    same = np.logical_or.reduce([n[p] == c[q] for p in ("place_id", "dest_id") for q in ("place_id", "dest_id")])
+    dwell = np.where(same, 20.0, np.where(gap <= rule.overlap_km, 10.0, 0.0))
+    need = gap / n["v_cruise"] * 60 + turn
+    over = dt - need - dwell
+    time = np.where(dt + rule.late_min < gap / n["v_max"] * 60 + turn, 0.0, np.where(over <= 0, 1.0, np.exp(-over / rule.fade_min)))
+    heading = np.where(gap <= rule.overlap_km, 1.0, np.where(np.isnan(theta), 0.6, np.maximum(0.05, (1 + np.cos(np.radians(theta))) / 2)))
+    cases, factors = [], []
+    for k, alike, other in (("model_id", 1.0, 0.2), ("family_id", 0.9, 0.3), ("class_id", 0.85, 0.3)):
+        cases += [n[k] == c[k], ~(np.isnan(n[k]) | np.isnan(c[k]))]
+        factors += [alike, other]
+    weight = time / (1 + km / rule.prior_km) * heading * np.select(cases, factors, 0.7)
+    return {"weight": weight, "gap_km": gap, "theta": theta, "need_min": need}
+
+
+#: What a pair's weight depends on besides its time, and how many pairs are weighed at once.
+WEIGHED, PAIRS = ["lon", "lat", "slack_km", "direction_deg", "v_max", "v_cruise", "place_id", "dest_id", "model_id", "family_id", "class_id"], 500_000
+
+
+def _pairs(facts: pd.DataFrame, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """Positions of successors and predecessors with weights of ``rule.least`` and more, by successor and the predecessor's id,
+    no more than about ``PAIRS`` looked at together. ``facts`` are sorted by key, time and id."""
+    code, at, win = pd.factorize(facts["key"])[0].astype(np.int64), facts["at"].to_numpy(), facts["win_min"].to_numpy(float)
+    message, ids, told = facts["raw_message_id"].to_numpy(), facts["fact_id"].to_numpy(), facts["told"].to_numpy(bool)
+    columns = {k: facts[k].to_numpy(float) for k in WEIGHED}
+    line = at - at.min() + code * (at.max() - at.min() + 1)  # keys one behind the other
+    same = np.r_[False, (code[1:] == code[:-1]) & (at[1:] == at[:-1]) & (ids[1:] == ids[:-1])]
+    one = np.maximum.accumulate(np.where(same, 0, np.arange(len(ids))))  # rows of one fact stand for its first
+    back = np.minimum(np.nan_to_num(win) * 60e6 + 1, float(at.max() - at.min() + 1)).astype(np.int64)
+    low = np.maximum(np.searchsorted(code, code), np.searchsorted(line, line - back))
+    n = np.where(told, 0, np.maximum(0, np.searchsorted(line, line) - low))
+    total, start = np.cumsum(n), 0
+    while start < len(n):
+        done = total[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
+        while stop < len(n) and same[stop]:
+            stop += 1
+        size = n[start:stop]
+        i = np.repeat(np.arange(start, stop), size)
+        j = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        dt = (at[i] - at[j]) / 60e6
+        met = np.flatnonzero((dt > 0) & (dt <= win[i]) & (message[i] != message[j]))
+        i, j, dt = i[met], j[met], dt[met]
+        with np.errstate(all="ignore"):
+            found = _weigh({k: v[i] for k, v in columns.items()}, {k: v[j] for k, v in columns.items()}, dt, rule) | {"dt": dt}
+            good = np.flatnonzero(found["weight"] >= rule.least)  # weights only fall
+        good = good[np.lexsort((ids[j[good]], one[i[good]]))]
+        yield one[i[good]], j[good], {k: v[good] for k, v in found.items()}
+        start = stop
+
+
 def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> DataFrame:
     """Links of every fact to its likely predecessors, ``from_id, to_id, probability, gap_km, dt, theta, need_min``.
 
-    What a predecessor has given to earlier successors lowers what is left for later ones, so the successors of a category
-    are passed in order, in slices as long as the window (``slices.passed``), each group of cells that are near each other by
-    itself. A slice hands over what it took from those that the next one can still reach.
+    What a predecessor has given to earlier successors lowers what is left for later ones, so the facts of a category
+    are passed in order, in slices of the window or the longest reach back (``slices.passed``), each group of cells that are near each
+    other by itself. A slice gets its facts, and those of the slice before that it can still reach; pairs are weighed in it, a
+    bounded number at a time, and never leave it. It hands over what it took from those that the next one can still reach.
     """
     columns = ["from_id", "to_id", "probability", "gap_km", "dt", "theta", "need_min"]
     node = lambda category, cell: F.xxhash64(category, cell)
-    pairs = weighted(candidate_pairs(facts, window_min, rule), rule).filter(F.col("weight") >= rule.least)  # weights only fall
-    near = _near_cells(facts, rule)[1].select("category", node("category", "__cell").alias("a"), node("category", "near").alias("b"))
-    groups = connected(near.select("a", "b"))
-    weights = pairs.withColumn("node", node("category", "near")).drop(*HELD).join(groups, "node").withColumnRenamed("comp", "key").drop("node")
-    widest = int(60e6 * (facts.agg(F.max("win_min")).first()[0] or window_min))
+    placed, near = _near_cells(facts.filter("raw_message_id is not null and observed_at is not null"), rule)
+    groups = connected(near.select(node("category", "__cell").alias("a"), node("category", "near").alias("b")))
+    longest = facts.agg(F.max("win_min")).first()[0] or window_min
+    width, widest = max(float(window_min), float(longest)), int(60e6 * longest)
+    at = F.unix_micros(F.col("observed_at").cast("timestamp"))
 
     def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        left = {(r.key, r.from_id): 1.0 - r.taken for r in given.itertuples()}
-        rows = rows.sort_values(["key", "observed_at", "to_id", "from_id"])
-        keys, targets, weights = (rows[c].to_numpy() for c in ("key", "to_id", "weight"))
-        sources = list(zip(keys.tolist(), rows["from_id"].tolist(), strict=True))
-        starts = np.r_[np.flatnonzero(np.r_[True, (targets[1:] != targets[:-1]) | (keys[1:] != keys[:-1])]), len(targets)]
-        kept, shares = [], []
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            rest = np.array([left.get(i, 1.0) for i in sources[a:b]])
-            rest[rest <= rule.exhausted] = 0
-            weight = weights[a:b] * rest
-            good = np.flatnonzero((weight >= rule.least) & (weight >= rule.of_best * weight.max()))
-            good = good[np.argsort(-weight[good], kind="stable")][: rule.most]
-            scale = max(1.0, weight[good].sum())
-            for i in good.tolist():
-                p = float(np.floor(weight[i] / scale * 1000 + 0.5) / 1000)
-                left[sources[a + i]] = round(max(0.0, rest[i] - p), 3)
-                kept.append(a + i)
-                shares.append(p)
-        return rows.iloc[kept].assign(probability=np.array(shares, float))[["key", *columns, "observed_at"]]
+        rows = rows.sort_values(["key", "at", "fact_id"], ignore_index=True)
+        ids, at = rows["fact_id"].to_numpy(), rows["at"].to_numpy()
+        ident = rows.groupby(["key", "fact_id"], sort=False).ngroup().to_numpy()
+        left = np.ones(len(rows))
+        held = given.merge(rows[["key", "fact_id"]].assign(ident=ident).drop_duplicates(), left_on=["key", "from_id"], right_on=["key", "fact_id"])
+        left[held["ident"].to_numpy(int)] = 1.0 - held["taken"].to_numpy(float)
+        out = []
+        for successors, predecessors, found in _pairs(rows, rule) if len(rows) else ():
+            kept, shares, weights, sources = [], [], found["weight"], ident[predecessors]
+            starts = np.r_[np.flatnonzero(np.r_[True, successors[1:] != successors[:-1]]), len(successors)] if len(successors) else np.zeros(1, int)
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                rest = left[sources[a:b]]
+                rest[rest <= rule.exhausted] = 0
+                weight = weights[a:b] * rest
+                good = np.flatnonzero((weight >= rule.least) & (weight >= rule.of_best * weight.max()))
+                good = good[np.argsort(-weight[good], kind="stable")][: rule.most]
+                scale = max(1.0, weight[good].sum())
+                for i in good.tolist():
+                    p = float(np.floor(weight[i] / scale * 1000 + 0.5) / 1000)
+                    left[sources[a + i]] = round(max(0.0, rest[i] - p), 3)
+                    kept.append(a + i)
+                    shares.append(p)
+            to, of = successors[kept], predecessors[kept]
+            values = {"from_id": ids[of], "to_id": ids[to], "probability": np.array(shares, float), **{c: found[c][kept] for c in ("gap_km", "dt", "theta", "need_min")}, "at": at[to]}
+            out.append(pd.DataFrame({"key": rows["key"].to_numpy()[to], **values}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["key", *columns, "at"])
 
     def carry(out: DataFrame) -> DataFrame:
-        told = F.unix_micros(F.col("observed_at").cast("timestamp")) - F.floor(F.col("dt") * 60e6)
-        late = told >= (F.col("slot") + 1) * int(window_min * 60e6) - widest - 1_000_000
+        late = F.col("at") - F.floor(F.col("dt") * 60e6) >= (F.col("slot") + 1) * int(width * 60e6) - widest - 1_000_000
         return out.filter(late).groupBy(*RUN, "from_id").agg(F.least(F.lit(1.0), F.round(F.sum("probability"), 3)).alias("taken"))
 
-    rows = weights.withColumn("slot", slot(F.col("observed_at"), window_min))
-    return passed(rows, step, "from_id long, to_id long, probability double, gap_km double, dt double, theta double, need_min double, observed_at timestamp_ntz", carry).select(*columns)
+    own = slot(F.col("observed_at"), width)
+    reached = at >= (own + 1) * int(width * 60e6) - widest
+    slots = F.when(reached, F.array(own, own + 1)).otherwise(F.array(own))
+    rows = placed.join(groups, node("category", "__cell") == F.col("node")).select(F.col("comp").alias("key"), F.posexplode(slots).alias("told", "slot"), "fact_id", "raw_message_id", at.alias("at"), "win_min", *WEIGHED).withColumn("told", F.col("told") == 1)
+    return passed(rows, step, "from_id long, to_id long, probability double, gap_km double, dt double, theta double, need_min double, at long", carry).select(*[F.when(~F.isnan("theta"), F.col("theta")).alias(c) if c == "theta" else c for c in columns])
 
 
 def with_duplicates(links: DataFrame, repeats: DataFrame) -> DataFrame:

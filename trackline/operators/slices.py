@@ -62,7 +62,7 @@ def passed(rows: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.Data
         held = given[given["__given"].notna()]
         out = step(mine, held[state_columns].assign(key=held["key"] + "\x1f" + held["state"].astype(str)))
         keys = [of_variant[v] for v in out["key"]]
-        return out.assign(part=group[0], slot=group[1], key=[k for k, _ in keys], state=[s for _, s in keys])[columns]
+        return out.assign(part=group[0], slot=group[1], key=pd.Series([k for k, _ in keys], out.index, object), state=[s for _, s in keys])[columns]
 
     due, given, n = slices.withColumn("state", F.lit(0).cast("long")), None, 0
     while True:
