@@ -101,3 +101,13 @@ def test_phrases(spark):
     header = spark.createDataFrame([(0, ["повітряна", "тривога"]), (1, ["тривога", "жовтий", "рівень"]), (2, ["рівень", "небезпеки", "червоний"])], "i int, t array<string>")
     got = header.select("i", P.event(F.col("t"), F.lit(True)).alias("e")).orderBy("i").select("e.*").collect()
     assert [(r.event, r.level) for r in got] == [("target_observed", None), ("air_raid_alert", "yellow"), ("target_observed", "red")]
+
+
+def test_only_dictionaries_are_broadcast(spark, monkeypatch):
+    plans, real = [], R.written
+    noted = lambda df: plans.append(df._jdf.queryExecution().toString()) or df
+    monkeypatch.setattr(R, "written", lambda df, name: real(noted(df), name))
+    messages = spark.createDataFrame([(1, 1, "шахед на Суми", None)], "message int, source_id long, text string, home long")
+    noted(R.facts(messages, spark.createDataFrame(ALIASES, ALIAS), spark.createDataFrame(PLACES, PLACE)))
+    assert len(plans) > 5 and any("SortMergeJoin [message" in p for p in plans)
+    assert not any("BroadcastHashJoin [message" in p for p in plans)

@@ -111,6 +111,12 @@ def adjective(stem: Column, tokens: Column, i: Column) -> Column:
     return t.startswith(stem) & follows & F.length(rest).between(3, 9) & (rest.contains("ськ") | rest.contains("цьк") | rest.contains("зьк"))
 
 
+def _met(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Both sides grow with the messages, so neither is to be broadcast: their files are small for their rows, as messages
+    repeat each other, and Spark goes by the files."""
+    return left.join(right.hint("merge"), key, how)
+
+
 def mentions(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     """``message, segment, targets``: the targets of each segment, by place, none covered by another.
 
@@ -120,7 +126,7 @@ def mentions(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     named = aliases.withColumn("target", F.to_json(F.struct("code", "level", "category_id", "class_id", "family_id", "model_id", "confidence")))
     met = X.matches(rows, named.select("alias", "target", "exact", "priority").distinct(), ["message", "segment"])
     allowed = named.select("alias", "target", "lang", F.col("source_id").alias("only"))
-    fit = met.join(rows.select("message", "segment", "source_id", "language"), ["message", "segment"]).join(allowed, ["alias", "target"])
+    fit = _met(met, rows.select("message", "segment", "source_id", "language"), ["message", "segment"]).join(allowed, ["alias", "target"])
     fit = fit.filter((F.col("only").isNull() | (F.col("only") == F.col("source_id"))) & (F.col("lang").isin("*", "en") | (F.col("lang") == F.col("language"))))
     kept = X.resolve_overlaps(fit.select("message", "segment", "start", "n", "alias", "target", "priority", "chars").distinct(), ["message", "segment"])
     t = F.from_json("target", "code string, level string, category_id long, class_id long, family_id long, model_id long, confidence int")
@@ -139,7 +145,7 @@ def candidates(rows: DataFrame, targets: DataFrame, places: DataFrame) -> DataFr
     at = rows.select("message", "segment", "tokens", F.posexplode("tokens").alias("start", "token")).withColumn("p3", F.left("token", F.lit(3)))
     unit = _any([F.col("token").startswith(k) & (F.length("token") - len(k) <= 3) for k in KINDS])
     taken = targets.select("message", "segment", F.explode("targets").alias("t")).select("message", "segment", F.explode(F.sequence("t.start", F.col("t.start") + F.col("t.n") - 1)).alias("start"))
-    met = at.filter(~unit).join(taken, ["message", "segment", "start"], "left_anti").join(words, "p3")
+    met = _met(at.filter(~unit), taken, ["message", "segment", "start"], "left_anti").join(words, "p3")
     own, start = F.slice("tokens", F.col("start") + 1, F.size("words")), F.col("start")
     whole = (F.size(own) == F.size("words")) & F.forall(F.zip_with("words", own, lambda w, t: F.coalesce(T.stem_match(w, t, F.lit(False)), F.lit(False))), lambda v: v)
     stem = F.col("words")[0]
@@ -163,17 +169,17 @@ def _chosen(found: DataFrame, rows: DataFrame, context: DataFrame | None, cities
     if context is None:
         found = found.withColumns({"regions": F.array().cast("array<long>"), "section": F.lit(None).cast("long"), "home": F.lit(None).cast("long")})
     else:
-        found = found.join(rows.select(*key, "section", "home"), key).join(context, "message", "left").withColumn("regions", F.coalesce("regions", F.array().cast("array<long>")))
+        found = _met(_met(found, rows.select(*key, "section", "home"), key), context, ["message"], "left").withColumn("regions", F.coalesce("regions", F.array().cast("array<long>")))
     city = cities.select(F.col("place_id").alias("parent_id"), F.lit(True).alias("of_city"))
     here = found.join(cities.select("place_id"), "place_id", "left_semi").groupBy(*key).agg(F.collect_set("place_id").alias("cities"))
-    found = found.join(city, "parent_id", "left").join(here, key, "left")
+    found = _met(found.join(city, "parent_id", "left"), here, key, "left")
     told = F.coalesce(F.array_contains("cities", F.col("parent_id")), F.lit(False)) | F.array_contains("regions", F.col("parent_id")) | F.coalesce(F.col("home") == F.col("parent_id"), F.lit(False))
     found = found.filter((F.col("level") != "district") | F.col("of_city").isNull() | told)
     inside = F.coalesce((F.col("region_id") == F.col("section")) | (F.col("place_id") == F.col("section")), F.lit(False))
     near = F.coalesce(F.array_contains("regions", F.col("region_id")) | (F.col("home") == F.col("region_id")), F.lit(False))
     order = F.struct((-F.col("chars")).alias("a"), (~inside).alias("b"), (~near).alias("c"), (~F.col("level").isin("region", "area")).alias("d"), (-F.col("population")).alias("e"), "place_id", "name", "level", "parent_id", "region_id", "population", inside.alias("inside"))
     best = found.groupBy(*key, "start", "n").agg(F.min(order).alias("p"), F.max("score").alias("score"), F.collect_set(T.folded_name(F.col("name"))).alias("names"), F.first("section").alias("section"))
-    best = best.join(rows.select(*key, "tokens", "language"), key)
+    best = _met(best, rows.select(*key, "tokens", "language"), key)
     cued = F.exists(F.array(_before(F.col("tokens"), F.col("start"), 1), _before(F.col("tokens"), F.col("start"), 2)), lambda t: F.rtrim(t, F.lit(".")).isin(*CUES))
     foreign = F.col("section").isNotNull() & F.col("p.level").isin("town", "village") & ~F.col("p.inside")
     weak = (F.col("p.level") == "village") & (F.col("p.population") < SMALL) & ~cued & ~F.col("p.inside")
@@ -218,17 +224,17 @@ def facts(messages: DataFrame, aliases: DataFrame, places: DataFrame) -> DataFra
     told = first.select("message", F.explode("places").alias("p")).filter(F.col("p.level").isin("region", "city", "area") & F.col("p.region_id").isNotNull())
     context = written(told.groupBy("message").agg(F.collect_set(F.col("p.region_id").cast("long")).alias("regions")), "message-regions")
     heads = _chosen(found, rows.withColumn("section", F.lit(None).cast("long")), context, cities)
-    rows = rows.join(found_targets, key, "left").withColumn("targets", F.coalesce("targets", none))
+    rows = _met(rows, found_targets, key, "left").withColumn("targets", F.coalesce("targets", none))
     top = F.col("h")[0]
     region_level = top["level"].isin("region", "area") | ((top["level"] == "city") & top["parent_id"].isNull())
     colon = F.rtrim("line").endswith(":")
     head = (F.size("targets") == 0) & (F.size("h") == 1) & region_level & (colon | (F.size("tokens") <= 2))
     along = Window.partitionBy("message").orderBy("segment")
-    rows = rows.join(heads.withColumnRenamed("places", "h"), key, "left").withColumn("is_head", F.coalesce(head, F.lit(False)))
+    rows = _met(rows, heads.withColumnRenamed("places", "h"), key, "left").withColumn("is_head", F.coalesce(head, F.lit(False)))
     rows = rows.withColumn("section_place", F.last(F.when(F.col("is_head"), top), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)))
     rows = written(rows.withColumn("section", F.col("section_place.place_id").cast("long")).drop("h"), "segment-sections")
     chosen = _chosen(found, rows, context, cities)
-    rows = rows.filter(~F.col("is_head")).join(chosen, key, "left")
+    rows = _met(rows.filter(~F.col("is_head")), chosen, key, "left")
     somewhere = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("n"), *[F.col("section_place")[c].alias(c) for c in ("place_id", "name", "level", "parent_id", "region_id")], F.lit("current").alias("role"), F.lit(None).cast("double").alias("quadrant_deg"), F.col("section_place.name").alias("text")))
     placed = F.coalesce(F.size("places") > 0, F.lit(False))
     fallback = ~placed & F.col("section_place").isNotNull() & (F.size("targets") > 0)
@@ -237,7 +243,7 @@ def facts(messages: DataFrame, aliases: DataFrame, places: DataFrame) -> DataFra
     rows = written(rows, "segment-facts")
     line = F.struct("segment", F.get("targets", F.lit(0)).alias("own"), (F.size("places") > 0).alias("placed"), F.col("direction_deg").isNotNull().alias("directed"), F.col("e.event").isin("unknown", "target_observed").alias("plain"), "colon")
     carried = rows.groupBy("message").agg(F.array_sort(F.collect_list(line)).alias("lines")).select("message", F.explode(_inherited(F.col("lines"))).alias("x")).select("message", "x.*")
-    rows = rows.join(carried, key).filter("not dropped").withColumn("targets", F.when(F.col("inherited").isNotNull(), F.array("given")).otherwise(F.col("targets")))
+    rows = _met(rows, carried, key).filter("not dropped").withColumn("targets", F.when(F.col("inherited").isNotNull(), F.array("given")).otherwise(F.col("targets")))
     event = F.when((F.size("targets") > 0) & (F.col("e.event") == "unknown"), "target_observed").otherwise(F.col("e.event"))
     out = rows.filter((F.size("targets") > 0) | (F.col("e.event") != "unknown")).withColumn("target", F.explode_outer("targets"))
     counted = count_near(F.col("tokens"), F.col("target.start"))
