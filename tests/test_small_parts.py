@@ -102,3 +102,17 @@ def test_relatives_on_a_map(spark):
     ancestors = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "head int, fact_id int")
     got = {(r.head, r.from_id, r.to_id, r.off_ancestor) for r in fixes.relatives_shown(df, ancestors).collect()}
     assert got == {(1, 2, 10, True), (1, 2, 11, True), (1, 2, 12, True), (1, 10, 20, False), (1, 10, 21, False), (1, 10, 22, False)}
+
+
+def test_batches_of_texts_are_worked_on_in_slices():
+    import pyarrow as pa
+
+    from trackline.functions import text as T
+
+    seen = []
+    work = lambda texts: seen.append(texts) or pa.array([t and t[:3] for t in texts], pa.string())
+    texts = ["x" * 5000, None, ""] * 1000
+    assert T.in_slices(pa.array(texts), work).to_pylist() == [t and t[:3] for t in texts]
+    assert max(map(len, seen)) <= T.SLICE_ROWS and max(sum(len(t or "") for t in part) for part in seen) <= 2 * T.SLICE_BYTES
+    assert T.in_slices(pa.array([], pa.string()), work).to_pylist() == []
+    assert T.in_slices(pa.array(["y" * 3 * T.SLICE_BYTES] * 2), work).to_pylist() == ["yyy"] * 2 and len(seen[-1]) == 1

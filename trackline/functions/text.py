@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,29 @@ SIGNS = {
 }
 
 
+#: About so many bytes of a batch of texts are worked on at once, and no more rows than this.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 500
+
+
+def in_slices(values: pa.Array, work: Callable[[list], pa.Array]) -> pa.Array:
+    """``work`` over a batch, slice by slice, so that what Python holds does not follow the batch; free memory is given back."""
+    done, start = [], 0
+    rows = max(1, min(SLICE_ROWS, SLICE_BYTES * max(1, len(values)) // max(1, values.nbytes)))
+    while start < len(values) or not done:
+        done.append(work(values.slice(start, rows).to_pylist()))
+        start += rows
+    out = pa.concat_arrays(done) if len(done) > 1 else done[0]
+    del done
+    pa.default_memory_pool().release_unused()
+    return out
+
+
 def nfc(text: Column) -> Column:
     """Canonical composition; plain ASCII passes untouched."""
 
     @F.arrow_udf("string")
     def composed(values: pa.Array) -> pa.Array:
-        return pa.array([v if v is None or v.isascii() else unicodedata.normalize("NFC", v) for v in values.to_pylist()], pa.string())
+        return in_slices(values, lambda texts: pa.array([v if v is None or v.isascii() else unicodedata.normalize("NFC", v) for v in texts], pa.string()))
 
     return composed(text)
 
@@ -65,7 +83,7 @@ def shingle_hashes(text: Column, size: int = 4) -> Column:
 
     @F.arrow_udf("array<long>")
     def hashed(values: pa.Array) -> pa.Array:
-        return pa.array([hashed_runs(v, size) for v in values.to_pylist()], pa.list_(pa.int64()))
+        return in_slices(values, lambda texts: pa.array([hashed_runs(v, size) for v in texts], pa.list_(pa.int64())))
 
     return hashed(text)
 
@@ -95,22 +113,21 @@ def minhash(values: Column, size: int = 64, seed: int = 17) -> Column:
     a = rng.integers(1, 1 << 63, size, dtype=np.uint64) | np.uint64(1)
     b = rng.integers(0, 1 << 63, size, dtype=np.uint64)
 
+    def least_of(row: list | None) -> list:
+        if not row:
+            return []
+        x, least = np.array(row, np.int64).view(np.uint64), np.full(size, np.iinfo(np.uint64).max)
+        for at in range(0, len(x), 8192):  # a long text is no wider than a short one
+            with np.errstate(over="ignore"):
+                h = x[at : at + 8192, None] * a + b
+                h ^= h >> np.uint64(33)
+                h *= np.uint64(0xFF51AFD7ED558CCD)
+            least = np.minimum(least, h.min(0))
+        return (least >> np.uint64(32)).astype(np.int64).tolist()
+
     @F.arrow_udf("array<long>")
     def signature(arrays: pa.Array) -> pa.Array:
-        out = []
-        for row in arrays.to_pylist():
-            if not row:
-                out.append([])
-                continue
-            x, least = np.array(row, np.int64).view(np.uint64), np.full(size, np.iinfo(np.uint64).max)
-            for at in range(0, len(x), 8192):  # a long text is no wider than a short one
-                with np.errstate(over="ignore"):
-                    h = x[at : at + 8192, None] * a + b
-                    h ^= h >> np.uint64(33)
-                    h *= np.uint64(0xFF51AFD7ED558CCD)
-                least = np.minimum(least, h.min(0))
-            out.append((least >> np.uint64(32)).astype(np.int64).tolist())
-        return pa.array(out, pa.list_(pa.int64()))
+        return in_slices(arrays, lambda rows: pa.array([least_of(row) for row in rows], pa.list_(pa.int64())))
 
     return signature(values)
 
