@@ -80,3 +80,22 @@ def test_links_pass_facts_not_pairs(spark, monkeypatch):
     monkeypatch.setattr(links, "PAIRS", 100)
     assert {(r.from_id, r.to_id): r.probability for r in links.link(facts, 40).collect()} == want and len(want) > 200
     assert seen[0] <= 2 * len(rows)
+
+
+def test_source_statistics_pass_messages_once(spark, monkeypatch):
+    """Against a count by hand; what is counted comes from one pass over the rows, not joined with itself."""
+    rng = random.Random(5)
+    lag = lambda: rng.choice([None, timedelta(seconds=-1), timedelta(seconds=rng.randrange(90)), timedelta(seconds=100), timedelta(hours=9)])
+    rows = [(rng.choice([None, *range(60)]), rng.choice([None, 1, 2, 3]), rng.choice(["F", "O", None]), T0, (d := lag()) and T0 + d, rng.choice([None, 1.0, 2.0, 9.0])) for _ in range(300)]
+    rows += [(900, 4, "O", T0, None, 1.0)]
+    hits = {r[0] for r in rows if r[0] is not None and (r[5] or 0) > 5}
+    want = {}
+    for source in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == source]
+        lags = sorted(s for r in own if r[4] is not None and 0 <= (s := (r[4] - r[3]).total_seconds()) < 100)
+        want[source] = (len(own), sum(r[2] == "F" for r in own), sum(r[0] in hits for r in own), (lags[(len(lags) - 1) // 2] + lags[len(lags) // 2]) / 2 if lags else None)
+    plans, real = [], stats.written
+    monkeypatch.setattr(stats, "written", lambda df, name: (plans.append(df._jdf.queryExecution().toString()), real(df, name))[1])
+    worked = spark.createDataFrame(rows, "message_id long, source_id int, status string, received_at timestamp_ntz, processed_at timestamp_ntz, amount double")
+    got = {r.source_id: (r.messages, r.processed, r.with_facts, r.median_lag_s) for r in stats.source_stats(worked, F.col("amount") > 5, 100.0).collect()}
+    assert got == want and plans and not any("Join" in p for p in plans)

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from trackline.operators.components import written
 
 
-def exact(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def exact(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], weight: str | None = None) -> DataFrame:
     """``keys`` and a column for each of ``shares`` (name: 0 to 1): the percentile between the two nearest ranks, as Spark's own.
 
     Values are counted in the tasks and sorted over all tasks by range; each range knows how many values stand before it, so
     no group is held or sorted in one place. Null values do not count; a group without values has no row; null keys are a key.
+    A row counts once, or as often as its ``weight`` says.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg((F.sum(weight) if weight else F.count("*")).alias("__n"))
     ranged = written(counts.repartitionByRange(*keys, "__v").withColumn("__part", F.spark_partition_id()), "percentile-counts")
     same = lambda a, b, on: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in on]
     parts = ranged.groupBy(*keys, "__part").agg(F.sum("__n").alias("__in"))

@@ -66,8 +66,7 @@ def fact_slices(spark, d):
 
 
 def source_statistics(spark, d):
-    worked = B.worked(spark, d)
-    return S.source_stats(worked, worked.filter("amount > 90000").select("message_id"), 86400.0 * 30)
+    return S.source_stats(B.worked(spark, d), F.col("amount") > 90000, 86400.0 * 30)
 
 
 def pipeline_rollup(spark, d):
