@@ -64,3 +64,26 @@ def test_rounds_do_not_grow_with_slices(spark, monkeypatch):
         assert got == {i: i - 1 if i % 2 else None for i in range(n)}
         taken.append(count[0])
     assert taken[1] <= taken[0] + 4 and taken[1] <= 14
+
+
+def test_dense_facts_take_few_rounds(spark, monkeypatch):
+    """The denser the facts, the longer ways stay apart; slices of any length give one pass in order, long ones in few rounds."""
+    from trackline.operators import slices
+
+    rng = random.Random(7)
+    rows = [(i, i // 2, 1, "a", rng.choice([None, 1, 2]), 7, None, T0 + timedelta(seconds=rng.randrange(3 * 86400))) for i in range(2500)]
+    want, originals = {}, []
+    for f in sorted(rows, key=lambda r: (r[7], r[0])):
+        fits = (o for o in originals if o[1] != f[1] and f[7] - o[7] <= timedelta(minutes=30) and (None in (f[4], o[4]) or f[4] == o[4]))
+        want[f[0]] = next((o[0] for o in fits), None)
+        if want[f[0]] is None:
+            originals.append(f)
+    rounds, written = [], slices.written
+    monkeypatch.setattr(slices, "written", lambda df, name: (rounds.append(name == "slice-fresh"), written(df, name))[1])
+    facts = spark.createDataFrame(rows, FACT)
+    for most, few in ((None, 2), (600, 6)):
+        if most:
+            monkeypatch.setattr(dedup, "SLICE_ROWS", most)
+        rounds.clear()
+        assert {r.fact_id: r.duplicate_of for r in dedup.mark_repeats(facts, 30).collect()} == want
+        assert sum(rounds) <= few

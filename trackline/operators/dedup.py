@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from trackline.operators.components import connected
 from trackline.operators.slices import passed, slot
 
+#: A slice of repeats is as long as keeps that of the busiest key within about so many facts; at least eight times the limit.
+SLICE_ROWS = 100_000
+
 
 def content_hash(df: DataFrame, code: str, text: str, payload: str) -> DataFrame:
     """``hash``: sha256 of source, text and payload, a line each; nulls count as empty."""
@@ -66,10 +69,13 @@ def mark_repeats(facts: DataFrame, minutes: float = 3) -> DataFrame:
     ``facts``: fact_id, raw_message_id, event_type, category, class_id, place_id, dest_id, observed_at. The same: event,
     category, place (or destination where neither has a place), classes equal or one unknown, at most ``minutes`` apart.
     A duplicate cannot be an original, so the facts of a place are passed in order, slice by slice (``slices.passed``); what
-    a slice hands over are its originals within ``minutes`` of its end. A fact that is given twice is one fact with two rows:
+    a slice hands over are its originals within ``minutes`` of its end. The denser the facts, the longer ways from different
+    originals stay apart, so slices are as long as ``SLICE_ROWS`` allows: rounds follow the rows of the busiest place, not time. A fact that is given twice is one fact with two rows:
     they have one mark, and as many rows come out as go in.
     """
     width, limit = max(8 * minutes, 60), pd.Timedelta(minutes=minutes)
+    busiest = facts.groupBy(place_key(), slot(F.col("observed_at"), width)).count().agg(F.max("count")).first()[0]
+    width *= max(1, SLICE_ROWS // (busiest or SLICE_ROWS))
     slim = facts.select(place_key().alias("key"), slot(F.col("observed_at"), width).alias("slot"), "fact_id", F.col("raw_message_id").cast("long").alias("message"), F.col("class_id").cast("long").alias("class"), "observed_at").distinct()
 
     def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
