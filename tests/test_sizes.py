@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from trackline.operators import copies, links, stats
+from trackline.operators import copies, links, stats, tracks
 from trackline.plans import analytics, graphs
 
 T0 = datetime(2024, 1, 1)
@@ -99,3 +99,23 @@ def test_source_statistics_pass_messages_once(spark, monkeypatch):
     worked = spark.createDataFrame(rows, "message_id long, source_id int, status string, received_at timestamp_ntz, processed_at timestamp_ntz, amount double")
     got = {r.source_id: (r.messages, r.processed, r.with_facts, r.median_lag_s) for r in stats.source_stats(worked, F.col("amount") > 5, 100.0).collect()}
     assert got == want and plans and not any("Join" in p for p in plans)
+
+
+def test_tracks_write_events_once(spark, monkeypatch):
+    """Against one pass in order; besides the events themselves only cells and classes are written, and no fact looks itself up by its id."""
+    rng = random.Random(9)
+    fields = [f.name for f in tracks.events(spark.range(0)).schema]
+    rows = [dict.fromkeys(fields) | {"fact_id": i, "raw_message_id": i, "source_id": rng.randrange(5), "event": "observed", "category": rng.choice(["uav", "jet"]), "observed_at": T0 + timedelta(minutes=2 * i), "lon": 30.0 + rng.randrange(4), "lat": 48.0 + rng.choice([0, 20]), "accuracy_km": 10.0, "confidence": 1, "speed_kmh": 200.0, "window_min": 30.0} for i in range(600)]
+    for r in rows[::9]:
+        r.update(lon=None, lat=None, dest_lon=31.0, dest_lat=48.0, dest_km=20.0)
+    board, want = tracks.Board(), []
+    for r in rows:
+        want += board.take(r)
+    want += board.expire(rows[-1]["observed_at"])
+    sizes, real = {}, tracks.written
+    monkeypatch.setattr(tracks, "written", lambda df, name: (sizes.__setitem__(name, sizes.get(name, 0) + df.count()), real(df, name))[1])
+    made = tracks.tracks(spark.createDataFrame([tuple(r[f] for f in fields) for r in rows], tracks.EVENT))
+    assert sizes.pop("track-events") == len(rows) and sum(sizes.values()) < len(rows) / 2
+    assert not any("Join" in line and "fact_id" in line for line in made._jdf.queryExecution().toString().splitlines())
+    named = lambda r: (r["track_id"], r["fact_id"] or 0, r["status"], r["revision_at"], r["facts"], r["lon"], r["lat"])
+    assert sorted(map(named, made.collect())) == sorted(map(named, want)) and len(want) > 600

@@ -344,22 +344,30 @@ def events(facts: DataFrame) -> DataFrame:
     return facts.select(*[(F.col(f.name) if f.name in facts.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def components(rows: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``id, comp`` for ``rows`` (id, category, at, lon, lat, accuracy_km, speed_kmh): rows of a category within reach of each
-    other, directly or by others, have one comp. Cells of one reach and their neighbours are linked."""
-    limit = rows.groupBy("category").agg((F.greatest(F.max("speed_kmh"), F.lit(rule.speed_kmh)) * rule.reach_min / 60 + rule.slack_km + 2 * F.greatest(F.max("accuracy_km"), F.lit(2 * rule.anchor_km))).alias("size"))
-    node = lambda x, y, z, s: F.xxhash64("category", x, y, z, s)
-    slot = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (rule.reach_min * 60e6)).alias("slot")
-    placed = rows.join(limit, "category").select("id", "category", *cube(F.col("lon"), F.col("lat"), F.col("size")), slot).withColumn("node", node("cx", "cy", "cz", "slot"))
-    placed = written(placed, "track-cells")
-    cells = placed.select("category", "cx", "cy", "cz", "slot", "node").distinct()
+def _sizes(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``category, size``: the reach of each category; a row for each class, so it goes to every task."""
+    size = F.greatest(F.max("speed_kmh"), F.lit(rule.speed_kmh)) * rule.reach_min / 60 + rule.slack_km + 2 * F.greatest(F.max("accuracy_km"), F.lit(2 * rule.anchor_km))
+    return F.broadcast(written(rows.groupBy("category").agg(size.alias("size")), "track-sizes"))
+
+
+def _node(x: str = "cx", y: str = "cy", z: str = "cz", s: str = "slot") -> Column:
+    return F.xxhash64("category", x, y, z, s)
+
+
+def _placed(rows: DataFrame, sizes: DataFrame, rule: Rule, at: Column, lon: Column, lat: Column) -> DataFrame:
+    """``rows`` with their cell, its slot of time and the name of both, ``node``."""
+    slot = F.floor(F.unix_micros(at.cast("timestamp")) / (rule.reach_min * 60e6)).alias("slot")
+    return rows.join(sizes, "category").select(*rows.columns, *cube(lon, lat, F.col("size")), slot).withColumn("node", _node())
+
+
+def _linked(cells: DataFrame) -> DataFrame:
+    """``node, comp`` of the cells (category, cx, cy, cz, slot, node) that have others around them."""
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     around = cells
     for name in ("cx", "cy", "cz", "slot"):
         around = around.withColumn("__d", F.explode(step)).withColumn(name, F.col(name) + F.col("__d")).drop("__d")
-    links = around.select(F.col("node").alias("a"), node("cx", "cy", "cz", "slot").alias("b")).filter("a < b").join(cells.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-    comps = connected(links)
-    return placed.join(comps, "node", "left").select("id", F.coalesce("comp", "node").alias("comp"))
+    links = around.select(F.col("node").alias("a"), _node().alias("b")).filter("a < b").join(cells.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    return connected(links)
 
 
 def advance(facts: DataFrame, state: DataFrame | None, until: datetime | None, rule: Rule = Rule()) -> DataFrame:
@@ -373,14 +381,27 @@ def advance(facts: DataFrame, state: DataFrame | None, until: datetime | None, r
     if until is None:
         until = rows.agg(F.max("observed_at")).first()[0]
     seen = rows.filter("coalesce(event, 'observed') <> 'cancelled' and category is not null")
+    # What a fact or an open track needs to get its component is its cell, so cells meet components, never facts by their ids.
     lon, lat = F.coalesce("lon", "dest_lon"), F.coalesce("lat", "dest_lat")
-    spots = seen.select(F.col("fact_id").alias("id"), "category", F.col("observed_at").alias("at"), lon.alias("lon"), lat.alias("lat"), F.greatest("accuracy_km", "dest_km").alias("accuracy_km"), "speed_kmh", F.lit(False).alias("open"), "region_id", "dest_region_id")
+    seen = seen.filter(F.col("fact_id").isNotNull() & lon.isNotNull() & lat.isNotNull())
+    reach = seen.select("category", F.greatest("accuracy_km", "dest_km").alias("accuracy_km"), "speed_kmh")
+    if state is not None:
+        open_ = state.withColumn("t", F.from_json("state", "seen_at timestamp_ntz, at array<double>, accuracy_km double, speed_kmh double, region_id long")).filter("t.at[0] is not null and t.at[1] is not null")
+        reach = reach.unionByName(open_.select("category", "t.accuracy_km", "t.speed_kmh"))
+    sizes, cell = _sizes(reach, rule), ["category", "cx", "cy", "cz", "slot", "node"]
+    seen = _placed(seen, sizes, rule, F.col("observed_at"), lon, lat)
+    cells = seen.select(*cell)
+    if state is not None:
+        open_ = _placed(open_, sizes, rule, F.col("t.seen_at"), F.col("t.at")[0], F.col("t.at")[1])
+        cells = cells.unionByName(open_.select(*cell))
+    cells = written(cells.distinct(), "track-cells")
+    comps = _linked(cells)
+    of_comp = lambda df: df.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).drop(*cell[1:])
+    seen = of_comp(seen)
+    own = seen.select("comp", "category", F.col("observed_at").alias("at"), "region_id", "dest_region_id")
     if state is not None:
-        t = state.select(F.col("track_id").alias("id"), "category", F.from_json("state", "seen_at timestamp_ntz, at array<double>, accuracy_km double, speed_kmh double, region_id long").alias("t"))
-        spots = spots.unionByName(t.select("id", "category", F.col("t.seen_at").alias("at"), F.col("t.at")[0].alias("lon"), F.col("t.at")[1].alias("lat"), "t.accuracy_km", "t.speed_kmh", F.lit(True).alias("open"), "t.region_id", F.lit(None).cast("long").alias("dest_region_id")))
-    spots = written(spots.filter("lon is not null and lat is not null").withColumn("key", F.col("id") * 2 + F.col("open").cast("int")), "track-spots")
-    comps = written(components(spots.select(F.col("key").alias("id"), "category", "at", "lon", "lat", "accuracy_km", "speed_kmh"), rule).distinct(), "track-comps")
-    own = spots.join(comps.withColumnRenamed("id", "key"), "key")
+        open_ = of_comp(open_)
+        own = own.unionByName(open_.select("comp", "category", F.col("t.seen_at").alias("at"), F.col("t.region_id").alias("region_id"), F.lit(None).cast("long").alias("dest_region_id")))
     # A cancellation goes to the components that have something in its region, in its day or the day before.
     day = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / int(86_400e6))
     regions = own.select("comp", "category", "at", F.explode(F.array("region_id", "dest_region_id")).alias("region_id")).filter("region_id is not null")
@@ -388,11 +409,9 @@ def advance(facts: DataFrame, state: DataFrame | None, until: datetime | None, r
     ends = rows.filter("event = 'cancelled' and region_id is not null").withColumn("day", day("observed_at")).alias("e")
     routed = ends.join(regions.alias("r"), (F.col("e.region_id") == F.col("r.region_id")) & (F.col("e.day") == F.col("r.day")) & (F.col("e.category").isNull() | (F.col("e.category") == F.col("r.category"))))
     routed = routed.select("e.*", "r.comp").drop("day").distinct()
-    open_rows = own.filter("open").select("comp", F.col("id").alias("track_id"))
-    facts_of = seen.join(own.filter("not open").select(F.col("id").alias("fact_id"), "comp").distinct(), "fact_id")
-    stream = facts_of.unionByName(routed).withColumn("state", F.lit(None).cast("string"))
+    stream = seen.unionByName(routed).withColumn("state", F.lit(None).cast("string"))
     if state is not None:
-        held = state.join(open_rows, "track_id").select("comp", "state", *[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(EVENT).fields])
+        held = open_.select("comp", "state", *[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(EVENT).fields])
         stream = held.unionByName(stream)
     schema = f"{REVISION}, state string"
     kinds = spark.createDataFrame([], schema)
