@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from trackline.llm import topk_search as T
 
@@ -39,6 +40,29 @@ def test_empty_and_few(spark):
     assert [tuple(r) for r in got] == [(0, 1, 1, 1024 * 2048)]
 
 
+def test_vectors_do_not_pass_the_driver(spark):
+    x = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (F.xxhash64("id", i) % 1000 / 2000).cast("float"))
+    vectors = spark.range(0, 24000, 1, 24).select(F.col("id").alias("vec_id"), x.alias("embedding"), F.lit(0).alias("score"))
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "3m")
+    try:
+        got = T.report(vectors)
+        assert len(got.collect()) == 240 * 10
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("scale", [1, 2**10, 2**19])  # doubles do not hold the products of the last
+def test_ties_and_large_components(spark, monkeypatch, scale):
+    monkeypatch.setattr(T, "PART_BYTES", 1 << 10)
+    monkeypatch.setattr(T, "CELL", 8)
+    rng = random.Random(6)
+    rows = [(i, [float(rng.choice([-scale, 0, scale]) + rng.randrange(2)) for _ in range(5)]) for i in range(300)] + [(i, [float(scale)] * 5) for i in range(300, 400)]
+    got = T.report(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int")).collect()
+    assert {tuple(r) for r in got} == brute(rows)
+
+
 def test_given_table_equals_sql(spark):
     d = "/root/testdata/sf0.01"
     con = duckdb.connect()
