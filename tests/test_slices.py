@@ -3,6 +3,9 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from trackline.operators import dedup, links
 
 T0 = datetime(2026, 9, 14)
@@ -87,3 +90,44 @@ def test_dense_facts_take_few_rounds(spark, monkeypatch):
         rounds.clear()
         assert {r.fact_id: r.duplicate_of for r in dedup.mark_repeats(facts, 30).collect()} == want
         assert sum(rounds) <= few
+
+
+LINKABLE = "fact_id long, raw_message_id long, category string, observed_at timestamp_ntz, win_min int, v_max double, v_cruise double, lon double, lat double, slack_km double, direction_deg double, place_id int, dest_id int, model_id int, family_id int, class_id int"
+
+
+def test_dense_links_take_one_round(spark, monkeypatch):
+    """Slices of any length give the links of one pass in order; long ones, in one round."""
+    from trackline.operators import slices
+
+    rng, rule = random.Random(9), links.Rule()
+    rows = [(i, i // 2, "uav", T0 + timedelta(minutes=rng.uniform(0, 700)), rng.choice([20, 30]), 200.0, 175.0, 30.0 + rng.choice([0.0, 0.3]), 50.0, 10.0, rng.choice([None, 90.0]), rng.choice([None, 1, 2]), None, None, None, rng.choice([1, 2, 3])) for i in range(900)]
+    facts = spark.createDataFrame(rows, LINKABLE)
+    by_successor = {}
+    for r in links.weighted(links.candidate_pairs(facts, 120)).filter(F.col("weight") >= rule.least).collect():
+        by_successor.setdefault((r.observed_at, r.to_id), []).append((r.from_id, r.weight))
+    left, want = {}, {}
+    for (_, n), found in sorted(by_successor.items()):
+        rest = {c: 0 if left.get(c, 1.0) <= rule.exhausted else left.get(c, 1.0) for c, _ in found}
+        weights = sorted((-w * rest[c], c) for c, w in found)
+        good = [(c, -w) for w, c in weights if -w >= rule.least and -w >= rule.of_best * -weights[0][0]][: rule.most]
+        scale = max(1.0, sum(w for _, w in good))
+        for c, w in good:
+            want[c, n] = int(w / scale * 1000 + 0.5) / 1000
+            left[c] = round(max(0.0, rest[c] - want[c, n]), 3)
+    rounds, written = [0], slices.written
+    monkeypatch.setattr(slices, "written", lambda df, name: (rounds.__setitem__(0, rounds[0] + (name == "slice-fresh")), written(df, name))[1])
+    assert {(r.from_id, r.to_id): r.probability for r in links.link(facts, 60).collect()} == want and len(want) > 800
+    assert rounds[0] <= 2  # the data may lie on both sides of a slice's border
+    monkeypatch.setattr(links, "SLICE_ROWS", 1)
+    assert {(r.from_id, r.to_id): r.probability for r in links.link(facts, 60).collect()} == want
+
+
+def test_spent_predecessors_are_not_weighed():
+    """However many facts a window holds, a successor meets those that have something left, and a block of neighbours."""
+    n, rule = 3000, links.Rule()
+    same = dict.fromkeys(links.WEIGHED, 1.0) | {"v_max": 200.0, "v_cruise": 175.0, "slack_km": 10.0}
+    facts = pd.DataFrame({"key": "a", "fact_id": range(n), "raw_message_id": range(n), "at": [i * 100_000 for i in range(n)], "win_min": 30, "told": False, **same})
+    met = sum(len(i) for i, _, _ in links._pairs(facts, facts["fact_id"].to_numpy(), [0.0] * n, rule))
+    assert met == sum(i % links.BLOCK for i in range(n))
+    whole = sum(len(i) for i, _, _ in links._pairs(facts, facts["fact_id"].to_numpy(), [1.0] * n, rule))
+    assert whole == n * (n - 1) // 2

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -119,8 +120,8 @@ def select_top(weights: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return total.withColumn("probability", F.round(F.col("weight") / F.greatest(F.col("__sum"), F.lit(1.0)), 3)).drop("__best", "__i", "__sum", *held)
 
 
-def _weigh(n: dict[str, np.ndarray], c: dict[str, np.ndarray], dt: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
-    """``weight, gap_km, theta, need_min`` of pairs as in :func:`weighted`, from the columns of successors and predecessors; unknown is NaN."""
+def _fixed(n: dict[str, np.ndarray], c: dict[str, np.ndarray], rule: Rule) -> dict[str, np.ndarray]:
+    """What the weight of pairs as in :func:`weighted` takes from the columns of successors and predecessors; unknown is NaN."""
     x, y, u, v = (np.radians(f[k]) for f, k in ((c, "lon"), (c, "lat"), (n, "lon"), (n, "lat")))
     h = np.sin((v - y) / 2) ** 2 + np.cos(y) * np.cos(v) * np.sin((u - x) / 2) ** 2
     km = 2 * G.RADIUS_KM * np.arcsin(np.minimum(1.0, np.sqrt(h)))
@@ -132,49 +133,78 @@ def _weigh(n: dict[str, np.ndarray], c: dict[str, np.ndarray], dt: np.ndarray, r
     same = np.logical_or.reduce([n[p] == c[q] for p in ("place_id", "dest_id") for q in ("place_id", "dest_id")])
     dwell = np.where(same, 20.0, np.where(gap <= rule.overlap_km, 10.0, 0.0))
     need = gap / n["v_cruise"] * 60 + turn
-    over = dt - need - dwell
-    time = np.where(dt + rule.late_min < gap / n["v_max"] * 60 + turn, 0.0, np.where(over <= 0, 1.0, np.exp(-over / rule.fade_min)))
     heading = np.where(gap <= rule.overlap_km, 1.0, np.where(np.isnan(theta), 0.6, np.maximum(0.05, (1 + np.cos(np.radians(theta))) / 2)))
     cases, factors = [], []
     for k, alike, other in (("model_id", 1.0, 0.2), ("family_id", 0.9, 0.3), ("class_id", 0.85, 0.3)):
         cases += [n[k] == c[k], ~(np.isnan(n[k]) | np.isnan(c[k]))]
         factors += [alike, other]
-    weight = time / (1 + km / rule.prior_km) * heading * np.select(cases, factors, 0.7)
-    return {"weight": weight, "gap_km": gap, "theta": theta, "need_min": need}
+    fast = gap / n["v_max"] * 60 + turn
+    return {"gap_km": gap, "theta": theta, "need_min": need, "dwell": dwell, "fast": fast, "far": 1 + km / rule.prior_km, "heading": heading, "like": np.select(cases, factors, 0.7)}
 
 
-#: What a pair's weight depends on besides its time, and how many pairs are weighed at once.
-WEIGHED, PAIRS = ["lon", "lat", "slack_km", "direction_deg", "v_max", "v_cruise", "place_id", "dest_id", "model_id", "family_id", "class_id"], 500_000
+def _weight(fixed: dict[str, np.ndarray], dt: np.ndarray, rule: Rule) -> np.ndarray:
+    """The weight of pairs that are ``dt`` minutes apart; it is never above 1."""
+    over = dt - fixed["need_min"] - fixed["dwell"]
+    time = np.where(dt + rule.late_min < fixed["fast"], 0.0, np.where(over <= 0, 1.0, np.exp(-over / rule.fade_min)))
+    return time / fixed["far"] * fixed["heading"] * fixed["like"]
 
 
-def _pairs(facts: pd.DataFrame, rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
-    """Positions of successors and predecessors with weights of ``rule.least`` and more, by successor and the predecessor's id,
-    no more than about ``PAIRS`` looked at together. ``facts`` are sorted by key, time and id."""
+#: What a pair's weight depends on besides its time, how many pairs are weighed at once, and of how many successors.
+WEIGHED, PAIRS, BLOCK = ["lon", "lat", "slack_km", "direction_deg", "v_max", "v_cruise", "place_id", "dest_id", "model_id", "family_id", "class_id"], 500_000, 64
+#: A slice of links is as long as keeps that of the busiest key within about so many facts; at least the window or the longest reach back.
+SLICE_ROWS = 400_000
+
+
+def _fixed_of(facts: pd.DataFrame, rule: Rule) -> Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
+    """:func:`_fixed` by positions of successors and predecessors: looked up where few facts differ in it, else worked out."""
+    columns = {k: facts[k].to_numpy(float) for k in WEIGHED}
+    kind = pd.DataFrame(columns).groupby(WEIGHED, dropna=False, sort=False).ngroup().to_numpy(np.int64)
+    kinds, one = np.unique(kind, return_index=True)
+    between = lambda i, j: _fixed({k: v[i] for k, v in columns.items()}, {k: v[j] for k, v in columns.items()}, rule)
+    if len(kinds) ** 2 > min(PAIRS, 4 * len(facts)):
+        return between
+    with np.errstate(all="ignore"):
+        known = between(np.repeat(one, len(one)), np.tile(one, len(one)))
+    return lambda i, j: {k: v[kind[i] * len(one) + kind[j]] for k, v in known.items()}
+
+
+def _pairs(facts: pd.DataFrame, ident: np.ndarray, left: list[float], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+    """Positions of successors and predecessors with weights of ``rule.least`` and more, by successor, falling weight and the predecessor's id,
+    a few successors and no more than about ``PAIRS`` looked at together. ``facts`` are sorted by key, time and id.
+
+    A predecessor with less ``left`` than ``rule.least`` (by its ``ident``) can be no source any more, as weights end at 1, and is not looked at again: so
+    what a successor meets is what the facts before it have left over, however many its window holds.
+    """
     code, at, win = pd.factorize(facts["key"])[0].astype(np.int64), facts["at"].to_numpy(), facts["win_min"].to_numpy(float)
     message, ids, told = facts["raw_message_id"].to_numpy(), facts["fact_id"].to_numpy(), facts["told"].to_numpy(bool)
-    columns = {k: facts[k].to_numpy(float) for k in WEIGHED}
+    fixed = _fixed_of(facts, rule)
     line = at - at.min() + code * (at.max() - at.min() + 1)  # keys one behind the other
     same = np.r_[False, (code[1:] == code[:-1]) & (at[1:] == at[:-1]) & (ids[1:] == ids[:-1])]
     one = np.maximum.accumulate(np.where(same, 0, np.arange(len(ids))))  # rows of one fact stand for its first
     back = np.minimum(np.nan_to_num(win) * 60e6 + 1, float(at.max() - at.min() + 1)).astype(np.int64)
-    low = np.maximum(np.searchsorted(code, code), np.searchsorted(line, line - back))
-    n = np.where(told, 0, np.maximum(0, np.searchsorted(line, line) - low))
-    total, start = np.cumsum(n), 0
-    while start < len(n):
-        done = total[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(total, done + PAIRS, side="right")))
-        while stop < len(n) and same[stop]:
+    high = np.searchsorted(line, line)
+    low = np.where(told, high, np.maximum(np.searchsorted(code, code), np.searchsorted(line, line - back)))
+    reached = np.minimum.accumulate(np.where(told, len(ids), low)[::-1])[::-1]  # by this or a later successor
+    met, start = np.zeros(0, np.int64), 0
+    while start < len(ids):
+        met = met[np.searchsorted(met, reached[start]) :]
+        met = met[np.array([left[i] for i in ident[met].tolist()], float) >= rule.least]
+        stop = start + max(1, min(BLOCK, PAIRS // (len(met) + BLOCK)))
+        while stop < len(ids) and same[stop]:
             stop += 1
-        size = n[start:stop]
-        i = np.repeat(np.arange(start, stop), size)
-        j = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        met = np.r_[met, np.arange(start, min(stop, len(ids)))]
+        first = np.searchsorted(met, low[start:stop])
+        size = np.maximum(0, np.searchsorted(met, high[start:stop]) - first)
+        i = np.repeat(np.arange(start, start + len(size)), size)
+        j = met[np.repeat(first - np.cumsum(size) + size, size) + np.arange(len(i))]
         dt = (at[i] - at[j]) / 60e6
-        met = np.flatnonzero((dt > 0) & (dt <= win[i]) & (message[i] != message[j]))
-        i, j, dt = i[met], j[met], dt[met]
+        fits = np.flatnonzero((dt > 0) & (dt <= win[i]) & (message[i] != message[j]))
+        i, j, dt = i[fits], j[fits], dt[fits]
         with np.errstate(all="ignore"):
-            found = _weigh({k: v[i] for k, v in columns.items()}, {k: v[j] for k, v in columns.items()}, dt, rule) | {"dt": dt}
+            found = fixed(i, j)
+            found |= {"dt": dt, "weight": _weight(found, dt, rule)}
             good = np.flatnonzero(found["weight"] >= rule.least)  # weights only fall
-        good = good[np.lexsort((ids[j[good]], one[i[good]]))]
+        good = good[np.lexsort((ids[j[good]], -found["weight"][good], one[i[good]]))]
         yield one[i[good]], j[good], {k: v[good] for k, v in found.items()}
         start = stop
 
@@ -183,8 +213,9 @@ def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> Data
     """Links of every fact to its likely predecessors, ``from_id, to_id, probability, gap_km, dt, theta, need_min``.
 
     What a predecessor has given to earlier successors lowers what is left for later ones, so the facts of a category
-    are passed in order, in slices of the window or the longest reach back (``slices.passed``), each group of cells that are near each
-    other by itself. A slice gets its facts, and those of the slice before that it can still reach; pairs are weighed in it, a
+    are passed in order, in slices (``slices.passed``), each group of cells that are near each other by itself. A slice runs once for each state
+    that it may meet, so slices are as long as ``SLICE_ROWS`` allows, the window or the longest reach back at least; most groups are one slice and pass once.
+    A slice gets its facts, and those of the slice before that it can still reach; pairs are weighed in it, a
     bounded number at a time, and never leave it. It hands over what it took from those that the next one can still reach.
     """
     columns = ["from_id", "to_id", "probability", "gap_km", "dt", "theta", "need_min"]
@@ -192,36 +223,57 @@ def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> Data
     placed, near = _near_cells(facts.filter("raw_message_id is not null and observed_at is not null"), rule)
     groups = connected(near.select(node("category", "__cell").alias("a"), node("category", "near").alias("b")))
     longest = facts.agg(F.max("win_min")).first()[0] or window_min
+    placed = placed.join(groups, node("category", "__cell") == F.col("node"))
     width, widest = max(float(window_min), float(longest)), int(60e6 * longest)
+    busiest = placed.groupBy("comp", slot(F.col("observed_at"), width)).count().agg(F.max("count")).first()[0]
+    width *= max(1, SLICE_ROWS // (busiest or SLICE_ROWS))
     at = F.unix_micros(F.col("observed_at").cast("timestamp"))
 
     def step(rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "at", "fact_id"], ignore_index=True)
         ids, at = rows["fact_id"].to_numpy(), rows["at"].to_numpy()
         ident = rows.groupby(["key", "fact_id"], sort=False).ngroup().to_numpy()
-        left = np.ones(len(rows))
+        left, least, of_best, most, exhausted = [1.0] * len(rows), rule.least, rule.of_best, rule.most, rule.exhausted
         held = given.merge(rows[["key", "fact_id"]].assign(ident=ident).drop_duplicates(), left_on=["key", "from_id"], right_on=["key", "fact_id"])
-        left[held["ident"].to_numpy(int)] = 1.0 - held["taken"].to_numpy(float)
+        for i, taken in zip(held["ident"].to_numpy(int).tolist(), held["taken"].to_numpy(float).tolist(), strict=True):
+            left[i] = 1.0 - taken
         out = []
-        for successors, predecessors, found in _pairs(rows, rule) if len(rows) else ():
-            kept, shares, weights, sources = [], [], found["weight"], ident[predecessors]
-            starts = np.r_[np.flatnonzero(np.r_[True, successors[1:] != successors[:-1]]), len(successors)] if len(successors) else np.zeros(1, int)
-            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                rest = left[sources[a:b]]
-                rest[rest <= rule.exhausted] = 0
-                weight = weights[a:b] * rest
-                good = np.flatnonzero((weight >= rule.least) & (weight >= rule.of_best * weight.max()))
-                good = good[np.argsort(-weight[good], kind="stable")][: rule.most]
-                scale = max(1.0, weight[good].sum())
-                for i in good.tolist():
-                    p = float(np.floor(weight[i] / scale * 1000 + 0.5) / 1000)
-                    left[sources[a + i]] = round(max(0.0, rest[i] - p), 3)
-                    kept.append(a + i)
+        for successors, predecessors, found in _pairs(rows, ident, left, rule) if len(rows) else ():
+            kept, shares, weights, sources, names = [], [], found["weight"].tolist(), ident[predecessors].tolist(), ids[predecessors].tolist()
+            starts = np.r_[np.flatnonzero(np.r_[True, successors[1:] != successors[:-1]]), len(successors)].tolist() if len(successors) else [0]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                floor, best, good = least, 0.0, []
+                for i in range(a, b):
+                    weight = weights[i]
+                    if weight < floor:  # as all that follow
+                        break
+                    rest = left[sources[i]]
+                    weight *= rest
+                    if weight >= floor and rest > exhausted:
+                        good.append((-weight, names[i], i, rest))
+                        if weight > best:
+                            best = weight
+                            if of_best * weight > floor:
+                                floor = of_best * weight
+                        if len(good) > most:
+                            good.sort()
+                            del good[most:]
+                            if -good[-1][0] > floor:
+                                floor = -good[-1][0]
+                good = sorted(g for g in good if -g[0] >= of_best * best)
+                total = 0.0
+                for weight, *_ in good:
+                    total -= weight
+                for weight, _, i, rest in good:
+                    p = math.floor(-weight / max(1.0, total) * 1000 + 0.5) / 1000
+                    left[sources[i]] = round(max(0.0, rest - p), 3)
+                    kept.append(i)
                     shares.append(p)
-            to, of = successors[kept], predecessors[kept]
-            values = {"from_id": ids[of], "to_id": ids[to], "probability": np.array(shares, float), **{c: found[c][kept] for c in ("gap_km", "dt", "theta", "need_min")}, "at": at[to]}
-            out.append(pd.DataFrame({"key": rows["key"].to_numpy()[to], **values}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["key", *columns, "at"])
+            out.append((successors[kept], predecessors[kept], np.array(shares, float), *(found[c][kept] for c in ("gap_km", "dt", "theta", "need_min"))))
+        if not out:
+            return pd.DataFrame(columns=["key", *columns, "at"])
+        to, of, shares, gap, dt, theta, need = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"key": rows["key"].to_numpy()[to], "from_id": ids[of], "to_id": ids[to], "probability": shares, "gap_km": gap, "dt": dt, "theta": theta, "need_min": need, "at": at[to]})
 
     def carry(out: DataFrame) -> DataFrame:
         late = F.col("at") - F.floor(F.col("dt") * 60e6) >= (F.col("slot") + 1) * int(width * 60e6) - widest - 1_000_000
@@ -230,7 +282,7 @@ def link(facts: DataFrame, window_min: float = 120, rule: Rule = Rule()) -> Data
     own = slot(F.col("observed_at"), width)
     reached = at >= (own + 1) * int(width * 60e6) - widest
     slots = F.when(reached, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = placed.join(groups, node("category", "__cell") == F.col("node")).select(F.col("comp").alias("key"), F.posexplode(slots).alias("told", "slot"), "fact_id", "raw_message_id", at.alias("at"), "win_min", *WEIGHED).withColumn("told", F.col("told") == 1)
+    rows = placed.select(F.col("comp").alias("key"), F.posexplode(slots).alias("told", "slot"), "fact_id", "raw_message_id", at.alias("at"), "win_min", *WEIGHED).withColumn("told", F.col("told") == 1)
     return passed(rows, step, "from_id long, to_id long, probability double, gap_km double, dt double, theta double, need_min double, at long", carry).select(*[F.when(~F.isnan("theta"), F.col("theta")).alias(c) if c == "theta" else c for c in columns])
 
 
